@@ -265,6 +265,9 @@ class Encoder:
         """Token ids of each text."""
         first, code, words = self.segments(texts)
         ids, stop = self.words(words)
+        return self._lists(first, code, ids, stop)
+
+    def _lists(self, first: np.ndarray, code: np.ndarray, ids: np.ndarray, stop: np.ndarray) -> pa.ListArray:
         lists = pa.LargeListArray.from_arrays(pa.array(stop), pa.array(ids.astype(np.int32))).take(pa.array(code))
         offsets = lists.offsets.to_numpy()[first].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), lists.values)
@@ -282,27 +285,33 @@ class Encoder:
         except UnicodeDecodeError:
             return re.sub("[\udc80-\udcff]", "�", raw.decode(errors="surrogateescape"))
 
+    def _joined(self, table: pa.Array, first: np.ndarray, code: np.ndarray, ids: np.ndarray, stop: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """What the ids of all texts stand for in ``table``, in one buffer, and where each text begins."""
+        flat = table.take(pa.array(ids))
+        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stop) - 1, [None, pa.py_buffer(_offsets(flat)[stop].tobytes()), flat.buffers()[2]]).take(pa.array(code))
+        return memoryview(spelled.buffers()[2] or b""), _offsets(spelled)[first]
+
+    def _texts(self, first: np.ndarray, code: np.ndarray, ids: np.ndarray, stop: np.ndarray) -> list[str]:
+        raw, at = self._joined(self.spelled, first, code, ids, stop)
+        lead = [[int(ids[stop[code[a]]])] if b > a else [] for a, b in zip(first[:-1], first[1:])]
+        return [self.text(bytes(raw[at[k] : at[k + 1]]), x) for k, x in enumerate(lead)]
+
     def digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
         """(number of ids, sha256 of the ids in decimal joined by commas, sha256 of the decoded text) of each text."""
         first, code, words = self.segments(texts)
         ids, stop = self.words(words)
-        at = pa.array(code)
-        count = np.append(0, np.cumsum(np.diff(stop)[code]))[first]
-
-        def joined(table: pa.Array) -> tuple[memoryview, np.ndarray]:
-            """What the ids of all texts stand for, in one buffer, and where each text begins."""
-            flat = table.take(pa.array(ids))
-            spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(_offsets(flat)[stop].tobytes()), flat.buffers()[2]]).take(at)
-            return memoryview(spelled.buffers()[2] or b""), _offsets(spelled)[first]
-
-        listed, lo = joined(self.listed)
-        raw, ro = joined(self.spelled)
-        out = []
-        for k in range(len(first) - 1):
-            lead = [int(ids[stop[code[first[k]]]])] if first[k + 1] > first[k] else []
-            text = self.text(bytes(raw[ro[k] : ro[k + 1]]), lead)
-            out.append((int(count[k + 1] - count[k]), hashlib.sha256(listed[lo[k] : max(lo[k], lo[k + 1] - 1)]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-        return out
+        count = np.diff(np.append(0, np.cumsum(np.diff(stop)[code]))[first]).tolist()
+        listed, at = self._joined(self.listed, first, code, ids, stop)
+        return [
+            (n, hashlib.sha256(listed[at[k] : max(at[k], at[k + 1] - 1)]).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+            for k, (n, text) in enumerate(zip(count, self._texts(first, code, ids, stop)))
+        ]
+
+    def round_trip(self, texts: pa.Array) -> tuple[pa.ListArray, list[str]]:
+        """Token ids of each text and what they decode to."""
+        first, code, words = self.segments(texts)
+        ids, stop = self.words(words)
+        return self._lists(first, code, ids, stop), self._texts(first, code, ids, stop)
 
 
 def _offsets(a: pa.Array) -> np.ndarray:
@@ -367,3 +376,20 @@ def token_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """Training rows: ``doc_id``, ``source``, ``n_tokens``, ``tokens``, ``decoded_sha256`` (of what the ids decode to). Null texts have no token."""
+    v = Vocabulary.load(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, 2, CHUNK):
+                lists, decoded = encoder(v).round_trip(part.column(2))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pc.list_value_length(lists).cast(pa.int64()), lists, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])],
+                    names=["doc_id", "source", "n_tokens", "tokens", "decoded_sha256"],
+                )
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs[text].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, tokens array<int>, decoded_sha256 string")

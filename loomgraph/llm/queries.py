@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, neardup, piece_bpe, pii, sharding
+from . import mixing, neardup, piece_bpe, pii, quality_classifier, quality_rules, sharding, token_counts, topk, toxicity
 
 #: File name of the SentencePiece model among the public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Byte-level rank file for token counts, and its free id that ends a document.
+RANKS, EOD = "byte_bpe_50k.tiktoken", 50256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(RANKS), public_tokenizers.PATTERN, EOD)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"), 8)
 
@@ -31,6 +44,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0])
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -43,12 +64,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer(PIECE_MODEL))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_neardup": op8_neardup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
