@@ -182,7 +182,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", block: int
     )
     begin = F.col("block") * block
     parts = (
-        pieces.join(slots, ["number", "block"])
+        pieces.join(slots.hint("merge"), ["number", "block"])  # the planner can't know how many slots a small plan makes
         .withColumn("first", F.greatest(begin, F.col("before")) - F.col("before"))
         .withColumn("last", F.least(begin + F.col("take"), F.col("before") + F.col("size")) - F.col("before"))
         .filter("last > first").select("rid", "out_shard", "epoch", "block", "first", "last")
@@ -205,23 +205,24 @@ def mixed_documents(docs: DataFrame, rows: DataFrame, parts: DataFrame, text: st
     """
     spans = parts.groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"), F.sum(F.col("last") - F.col("first")).alias("_got"))
     have = rows.select("rid", "doc_id", "_tie", F.col("size").alias("_size"))
-    body = docs.withColumn("_tie", F.xxhash64(text))
-    copies = Window.partitionBy("doc_id", "_tie")
-    same = body["doc_id"].eqNullSafe(F.col("_id")) & (body["_tie"] == F.col("_key"))
+    body = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_did"), F.xxhash64(text).alias("_hash"))  # as one column, whatever their names
+    same = F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key"))
     if (have.groupBy("doc_id", "_tie").count().agg(F.max("count")).first()[0] or 0) > 1:  # else numbering the copies would only shuffle texts
-        have = have.withColumn("_nth", F.row_number().over(copies.orderBy("rid")))
-        body = body.withColumn("_copy", F.row_number().over(copies.orderBy("_tie")))
+        have = have.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("rid")))
+        body = body.withColumn("_copy", F.row_number().over(Window.partitionBy("_did", "_hash").orderBy("_hash")))
         same = same & (F.col("_copy") == F.col("_nth"))
-    have = have.join(spans, "rid").withColumnsRenamed({"doc_id": "_id", "_tie": "_key"})
+    have = have.join(spans, "rid").drop("rid").withColumnsRenamed({"doc_id": "_id", "_tie": "_key"})
     out = body.join(have, same)
+    old = F.col("_doc")[text]
     # neighbouring spans are one run: a newline stands only where words are missing
     glue = lambda acc, s: F.struct(
         s["last"].alias("last"),
         F.concat(acc["out"], F.when(acc["last"] < 0, "").when(acc["last"] == s["first"], " ").otherwise("\n"), F.array_join(F.slice(acc["words"], (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")), " ")).alias("out"),
         acc["words"].alias("words"),
     )
-    empty = F.struct(F.lit(-1).cast("long").alias("last"), F.lit("").alias("out"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    out = out.withColumn(text, F.when(F.col("_got") == F.col("_size"), F.col(text)).otherwise(F.aggregate("_spans", empty, glue, lambda acc: acc["out"])))
+    empty = F.struct(F.lit(-1).cast("long").alias("last"), F.lit("").alias("out"), F.regexp_extract_all(old, F.lit(WORD), F.lit(0)).alias("words"))
+    out = out.withColumn("_new", F.when(F.col("_got") == F.col("_size"), old).otherwise(F.aggregate("_spans", empty, glue, lambda acc: acc["out"])))
+    new = {text: F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
