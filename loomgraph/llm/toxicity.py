@@ -214,11 +214,11 @@ def induce(sample: DataFrame, most: int = 5000) -> Lexicon:
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and bias of a logistic curve over a document's feature, by damped Newton steps with a weak prior."""
-    a, b = 3.0, -3.0
+    a, b = 6.0, -4.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         w = p * (1 - p) + 1e-9
-        ga, gb = ((p - y) * x).sum() + 0.01 * (a - 3), (p - y).sum() + 0.01 * (b + 3)
+        ga, gb = ((p - y) * x).sum() + 0.01 * (a - 6), (p - y).sum() + 0.01 * (b + 4)
         haa, hab, hbb = (w * x * x).sum() + 0.01, (w * x).sum(), w.sum() + 0.01
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
