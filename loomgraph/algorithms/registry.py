@@ -95,7 +95,17 @@ def _ppr(g: PropertyGraph, seeds: dict[str, float], alpha: float, epsilon: float
 
 def _components(g: PropertyGraph, directed: bool) -> DataFrame:
     pairs = iterative.edge_pairs(g)
-    return kernels.run_kernel(pairs, kernels.forward_components, "id string, component string") if directed else iterative.components(pairs)
+    if directed:
+        return kernels.run_kernel(pairs, kernels.forward_components, "id string, component string")
+    return kernels.auto(pairs, kernels.components, iterative.components, "id string, component string")
+
+
+def _pagerank(g: PropertyGraph, damping: float, max_iter: int, tolerance: float) -> DataFrame:
+    return kernels.auto(iterative.edge_pairs(g), lambda pdf: kernels.pagerank(pdf, damping, max_iter, tolerance), lambda p: iterative.pagerank(p, damping, max_iter, tolerance), "id string, score double")
+
+
+def _communities(g: PropertyGraph) -> DataFrame:
+    return kernels.auto(iterative.edge_pairs(g), kernels.label_propagation, iterative.label_propagation, "id string, community int")
 
 
 def _shortest(g: PropertyGraph, source: str, target: str, max_depth: int, weighted: bool) -> DataFrame:
@@ -124,11 +134,11 @@ def _morphology(g: PropertyGraph, feature_property: str, iterations: int, relati
 
 
 ALL = ("stream", "stats", "mutate")
-register(Operation("pagerank", "Power iteration over all live edges", lambda g, damping, max_iter, tolerance: iterative.pagerank(iterative.edge_pairs(g), damping, max_iter, tolerance), ALL, {"damping": 0.85, "max_iter": 100, "tolerance": 1e-6, "top_k": None}))
+register(Operation("pagerank", "Power iteration over all live edges", _pagerank, ALL, {"damping": 0.85, "max_iter": 100, "tolerance": 1e-6, "top_k": None}))
 register(Operation("ppr", "Personalised PageRank by forward push", _ppr, ALL, {"seeds": ..., "alpha": 0.15, "epsilon": 1e-4, "max_pushes": 200_000, "top_k": None, "distributed": False}))
 register(Operation("components", "Weakly connected components, or forward reachability", _components, ("stream", "mutate"), {"directed": False}, "component"))
-register(Operation("communities", "Synchronous label propagation", lambda g: iterative.label_propagation(iterative.edge_pairs(g)), ("stream", "mutate"), {}, "community"))
-register(Operation("louvain", "Former name of communities", lambda g: iterative.label_propagation(iterative.edge_pairs(g)), ("stream", "mutate"), {}, "community"))
+register(Operation("communities", "Synchronous label propagation", _communities, ("stream", "mutate"), {}, "community"))
+register(Operation("louvain", "Former name of communities", _communities, ("stream", "mutate"), {}, "community"))
 register(Operation("leiden", "Connected communities by local moves, refinement and aggregation", lambda g, gamma, seed, max_levels: kernels.run_kernel(iterative.edge_pairs(g), lambda pdf: kernels.leiden(pdf, gamma, seed, max_levels), "id string, community int"), ("stream", "mutate"), {"gamma": 1.0, "seed": 0, "max_levels": 10}, "community"))
 register(Operation("betweenness", "Brandes, exact or from sampled pivots", lambda g, directed, sample_size, seed: kernels.betweenness(iterative.edge_pairs(g), directed, sample_size, seed), ALL, {"directed": False, "sample_size": None, "seed": 0, "top_k": None}))
 register(Operation("scc", "Strongly connected components", lambda g: kernels.run_kernel(iterative.edge_pairs(g), kernels.strong_components, "id string, component int"), ("stream", "mutate"), {}, "component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ STOP_WORDS = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # --------------------------------------------------------------------------- vectors
 
 
@@ -157,7 +163,10 @@ def title_from_url(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """http(s) addresses without fragment, credentials and default port, scheme and host in lower case; others null."""
-    u = F.regexp_replace(F.trim(url), "#.*$", "")
+    return let(F.regexp_replace(F.trim(url), "#.*$", ""), _canonical)
+
+
+def _canonical(u: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = domain(u)
     port = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)", 1)
@@ -169,12 +178,15 @@ def canonical_url(url: Column) -> Column:
 
 def resolve_link(base: Column, href: Column) -> Column:
     """A link made absolute against its page and canonical; null for other schemes. Dot segments are resolved."""
-    h = F.trim(F.regexp_replace(href, "&amp;", "&"))
-    h = F.regexp_replace(h, "#.*$", "")
+    h = F.regexp_replace(F.trim(F.regexp_replace(href, "&amp;", "&")), "#.*$", "")
+    return let(let(h, lambda x: _absolute(base, x)), lambda a: canonical_url(_no_dots(a)))
+
+
+def _absolute(base: Column, h: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(url_path(base), "[^/]*$", "")
-    absolute = (
+    return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
         .when(h.startswith("/"), F.concat(origin, h))
@@ -182,7 +194,6 @@ def resolve_link(base: Column, href: Column) -> Column:
         .when(h == "", F.regexp_replace(base, "#.*$", ""))
         .otherwise(F.concat(origin, folder, h))
     )
-    return canonical_url(_no_dots(absolute))
 
 
 def _no_dots(url: Column) -> Column:

@@ -136,7 +136,7 @@ def prop(key: str, alias: str = "prop_tokens") -> Column:
 def label_set(labels: Column | str) -> Column:
     """Trimmed, without empties, sorted, distinct."""
     c = F.col(labels) if isinstance(labels, str) else labels
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def effective_confidence(confidence: Column | str = "confidence") -> Column:

@@ -236,7 +236,13 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("pagerank", _pagerank_sql(5))
 def _(spark, d):
-    return iterative.pagerank(td.trade(spark, d), 0.85, 5, 0.0).select("id", F.round("score", 9).alias("score"))
+    out = kernels.auto(td.trade(spark, d), lambda pdf: kernels.pagerank(pdf, 0.85, 5, 0.0), lambda p: iterative.pagerank(p, 0.85, 5, 0.0), "id string, score double")
+    return out.select("id", F.round("score", 9).alias("score"))
+
+
+@query("pagerank_loop", _pagerank_sql(3))
+def _(spark, d):
+    return iterative.pagerank(td.trade(spark, d), 0.85, 3, 0.0).select("id", F.round("score", 9).alias("score"))
 
 
 @query("components", "SELECT printf('turn:%08d:%04d', conv_id, turn) AS id, printf('turn:%08d:0000', conv_id) AS component FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 0))")
@@ -294,7 +300,7 @@ def _(spark, d):
 
 @query("communities")
 def _(spark, d):
-    return iterative.label_propagation(iterative.edge_pairs(td.turns(spark, d)))
+    return registry.call(td.turns(spark, d), "communities")
 
 
 @query("leiden")
@@ -464,7 +470,7 @@ def _(spark, d):
 
 @query("page_search")
 def _(spark, d):
-    f = crawl.fetched(td.web_pages(spark, d)).select(crawl.page_id(F.col("url")).alias("id"), "url", "text", "links")
+    f = settle(crawl.fetched(td.web_pages(spark, d)).select(crawl.page_id(F.col("url")).alias("id"), "url", "text", "links"))
     links = f.select(F.col("id").alias("a"), F.explode("links").alias("t")).select("a", crawl.page_id(F.col("t")).alias("b"))
     return search.substrate_search(f.select("id", "url", "text"), links, "moron idiot ciónra")
 

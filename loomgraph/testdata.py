@@ -43,8 +43,18 @@ def ref(label: str, key: str) -> Column:
     return F.concat(F.lit(label + ":"), F.col(key).cast("string"))
 
 
+_graphs: dict[tuple, PropertyGraph] = {}
+
+
 def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Regions, nations, customers, suppliers, parts, orders and their links."""
+    """Regions, nations, customers, suppliers, parts, orders and their links. The plan is built once a session and folder."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _graphs:
+        _graphs[key] = _commerce(spark, sf_dir)
+    return _graphs[key]
+
+
+def _commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     t = lambda n: table(spark, sf_dir, n)
     c, s, n, r, p, o, l = (t(x) for x in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem"))
     parts = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_url, domain, html_text, links, source_class, trust_weight
+from ..iterate import settle
 from ..model import PropertyGraph
 
 TEXT_BYTES = 4096
@@ -41,7 +42,7 @@ def crawl_graph(pages: DataFrame, run_id: str) -> PropertyGraph:
 
     Nodes and edges are keyed, so repeats collapse by one aggregation on the id.
     """
-    f = fetched(pages)
+    f = settle(fetched(pages))  # many tables come from it
     pid, did = page_id(F.col("url")), F.concat(F.lit("domain:"), "domain")
     sid, aid = F.concat(F.lit("snapshot:"), "body_hash"), F.concat(F.lit(f"attempt:{run_id}:"), "url")
 
@@ -49,7 +50,7 @@ def crawl_graph(pages: DataFrame, run_id: str) -> PropertyGraph:
         return df.select(node_id.alias("id"), F.array(F.lit(label)).alias("labels"), props.alias("properties"), F.lit(rank).alias("rank"))
 
     run = f.sparkSession.createDataFrame([(f"run:{run_id}", ["CrawlRun"], "{}", 0)], "id string, labels array<string>, properties string, rank int")
-    out = f.select("url", "domain", F.explode("links").alias("target"))
+    out = f.select("url", "domain", F.explode("links").alias("target")).distinct()
     nodes = (
         run.unionByName(node(f, aid, "FetchAttempt", F.to_json(F.struct("url", "status", "fetched_at"))))
         .unionByName(node(f, pid, "Page", F.to_json(F.struct("url", "domain", "source_class", F.lit("fetched").alias("state")))))

@@ -79,7 +79,7 @@ def substrate_search(pages: DataFrame, links: DataFrame, query: str, limit: int
     seeds = {r["id"]: r["rrf"] for r in fused.orderBy(F.desc("rrf"), "id").limit(1000).collect()}  # a report's seeds
     total = sum(seeds.values())
     if seeds and not both.isEmpty():
-        scores = run_kernel(both.withColumn("w", F.lit(1.0)), lambda pdf: ppr(pdf, {k: v / total for k, v in seeds.items()}, 0.15, 1e-5), "id string, ppr double")
+        scores = run_kernel(both.withColumn("w", F.lit(1.0)), lambda pdf: ppr(pdf, {k: v / total for k, v in seeds.items()}, 0.15, 1e-5), "id string, score double").withColumnRenamed("score", "ppr")
     else:
         scores = pages.sparkSession.createDataFrame([], "id string, ppr double")
     j = rings.join(pages, "id").join(scores, "id", "left").join(fused, "id", "left")
