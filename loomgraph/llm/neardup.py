@@ -22,7 +22,8 @@ class Params:
     bands: int = 32
     rows: int = 4
     small: int = 12  #: buckets of at most so many classes are settled pair by pair where components differ
-    rounds: int = 6  #: rounds of new stars after the first, at most; a round that joins nothing is the last
+    leaders: int = 4  #: stars that a large bucket gives in each later round
+    rounds: int = 8  #: later rounds, at most; after two in a row that join nothing there are no more
 
 
 # --------------------------------------------------------------------------- shingles and signatures
@@ -79,8 +80,8 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, n_docs: int, bins: int) -
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band."""
-    out = np.zeros((len(sig), bands), np.uint64)
+    """One 64-bit key per band, the band's number mixed in."""
+    out = np.tile(np.arange(bands, dtype=np.uint64), (len(sig), 1))
     with np.errstate(over="ignore"):
         for r in range(rows):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(len(sig), bands, rows)[:, :, r])
@@ -132,46 +133,87 @@ def _expand(p: Params):
 
 # --------------------------------------------------------------------------- components
 
+#: Edges that one task may hold once every partition has reduced its own to stars; beyond that the loop goes on.
+TASK_EDGES = 2_000_000
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b): rows (id, comp), comp the smallest id reachable.
 
-    Alternating large-star and small-star steps, each written to the shared folder, until an edge table no
-    longer changes; a hub's edges are pre-aggregated before the shuffle, never gathered in one task.
+def _stars(batches):
+    """Edges (u, v) of a partition to stars: every node with the smallest id that these edges reach."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for k in range(0, len(nodes), 100_000):
+        some = [x for x in nodes[k : k + 100_000] if parent[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], names=["u", "v"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Connected components of undirected ``edges`` (a, b): rows (id, comp), comp the smallest id reachable; ids that are their own component are left out.
+
+    Each partition first reduces its edges to stars. While more than ``task_edges`` are left, large-star and
+    small-star steps run as joins, each written to the shared folder; a hub's edges are pre-aggregated before the
+    shuffle. What is left then, of checked size, is finished by one task.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    schema = "u long, v long"
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").mapInArrow(_stars, schema), "edges")
     mark = None
-    while True:
+    while (n := now.count()) > task_edges:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "large")
+        large = stored(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = stored(small, "small")
         release(large, now)
         now = after
-        seen = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        seen = (n, now.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0])
         if seen == mark:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+            break
         mark = seen
+    else:
+        now = now.coalesce(1).mapInArrow(_stars, schema)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
-def _relabel(labels: DataFrame, merged: DataFrame) -> DataFrame:
-    """Labels (id, comp) after components are merged by (comp -> smaller comp)."""
-    m = merged.select(F.col("id").alias("_old"), F.col("comp").alias("_new"))
-    return labels.join(m, F.col("comp") == F.col("_old"), "left").select("id", F.coalesce("_new", "comp").alias("comp"))
+# --------------------------------------------------------------------------- candidate edges
 
 
-# --------------------------------------------------------------------------- candidate edges
+def _leaders(members: DataFrame, salt: int, most: int) -> DataFrame:
+    """Up to ``most`` members of each bucket: of the components with fewest members there, pseudorandom ones, others for each salt.
+
+    A class that only a few members of a large component resemble is alone in its buckets, so it soon leads one.
+    """
+    spots = range(most)
+    one = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), *[F.min(F.struct(F.xxhash64("id", "key", F.lit(salt * most + i)).alias("h"), "id", "n")).alias(f"x{i}") for i in spots])
+    got = one.groupBy("key").agg(*[F.min(F.struct("m", f"x{i}", "comp")).alias(f"l{i}") for i in spots])
+    lead = lambda i: F.struct(F.col(f"l{i}.x{i}.id").alias("lid"), F.col(f"l{i}.x{i}.n").alias("ln"), F.col(f"l{i}.comp").alias("lcomp"))
+    return got.select("key", F.explode(F.array_distinct(F.array(*[lead(i) for i in spots]))).alias("l")).select("key", "l.*")
+
 
+def _linkable(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of ``live`` that may still link: too many shingles that no other live class has rule a link out.
 
-def _leader(members: DataFrame, salt: int) -> DataFrame:
-    """One pseudorandom member of each bucket, another one for each salt."""
-    pick = F.struct(F.xxhash64("id", "band", F.lit(salt)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("comp").alias("comp"))
-    got = members.groupBy("band", "key").agg(F.min(pick).alias("l"))
-    return got.select("band", "key", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.comp").alias("lcomp"))
+    At most n - p of a set's n shingles can be shared if p are its own, and a union is never below n.
+    """
+    ids = live.select(F.col("id").alias("doc_id"), "n").distinct()
+    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("sh").alias("s"))
+    own = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("p"))
+    left = F.col("n") - F.coalesce("p", F.lit(0))
+    return ids.join(own, "doc_id", "left").filter(left * 100 >= F.col("n") * percent).select(F.col("doc_id").alias("id"))
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -196,7 +238,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     3. Links found make components. Only buckets that still hold several components go on: all remaining star
        edges between components, every pair between components of small buckets, then stars around other
        members of the large ones, until a round joins nothing.
-    Sets are read in full for every class that shares a bucket, and every link is confirmed on them.
+    Sets are read in full for every class that has a candidate edge, and every link is confirmed on them.
 
     Returns one row per input row: ``doc_id``, ``n_shingles`` (0 for texts null, empty or without words, which link with
     nothing), ``component_id`` (smallest id reachable, itself included), ``kept`` (whether it is that id). Rows
@@ -207,53 +249,74 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(base.mapInArrow(_sign(p), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "signed")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    same = (usable["s1"] == classes["s1"]) & (usable["s2"] == classes["s2"]) & (usable["doc_id"] == classes["id"])
-    heads = usable.join(classes.drop("n_shingles"), same).select("id", F.col("n_shingles").alias("n"), "keys")
-    members = heads.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = stored(members.join(shared, ["band", "key"]).select("band", "key", "id", "n", "c").distinct(), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(base.join(wanted, "doc_id", "left_semi").mapInArrow(_expand(p), "doc_id long, sh array<long>"), "sets")
-
-    labels = stored(members.select("id").distinct().withColumn("comp", F.col("id")), "labels")
-    stars = members.withColumn("comp", F.col("id"))
-    stars = stars.join(_leader(stars, 0), ["band", "key"]).filter((F.col("id") != F.col("lid")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent))
+    heads = stored(usable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")).select("s1", "s2", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").cast("int").alias("n"), F.col("x.keys").alias("keys")), "classes")
+    spread = heads.select("id", "n", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")  # nearly all keys are alone: only they and a count are shuffled first
+    found = stored(spread.join(shared, "key"), "shared")
+    pick = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"), F.col("n").alias("n"))
+    leads = found.groupBy("key").agg(F.min(pick).alias("l")).select("key", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"))
+    members = stored(found.join(leads, "key"), "members")
+    release(found)
+    stars = members.filter((F.col("id") != F.col("lid")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent))
     stars = stored(stars.groupBy(F.col("lid").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("hits")), "stars")
+    # classes that may need their sets: those in a star, and those that later rounds may pair
+    fits = members.filter((F.col("c") > 2) | _sizes_fit(F.col("n"), F.col("ln"), p.percent))
+    wanted = fits.select(F.col("id").alias("doc_id")).distinct()
+    sets = stored(base.join(wanted, "doc_id", "left_semi").mapInArrow(_expand(p), "doc_id long, sh array<long>"), "sets")
     best = stars.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    labels = _join(labels, _confirm(best, sets, p.percent))[0]
-
-    for step in range(1, p.rounds + 1):
-        known = members.join(labels, "id")
-        mixed = known.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
-        live = stored(known.join(mixed, ["band", "key"]), "live")
+    labels = stored(components(_confirm(best, sets, p.percent)), "labels")
+
+    idle, able = 0, None
+    for step in range(1, p.rounds + 2):
+        if step == 2:  # from here on large buckets only, without the classes that can't link to any other in them
+            big = stored(_mixed(_labelled(members.filter(F.col("c") > p.small).select("key", "id", "n", "c"), labels)), "big")
+            able = stored(big.join(_linkable(big, sets, p.percent), "id", "left_semi").select("key", "id", "n", "c"), "able")
+            release(big)
+        live = stored(_mixed(_labelled((members if able is None else able).select("key", "id", "n", "c"), labels)), "live")
         if step == 1:
-            l = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-            r = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
             few = live.filter(F.col("c") <= p.small)
-            other = few.select("band", "key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
-            inner = few.join(other, ["band", "key"]).filter((F.col("lid") < F.col("id")) & (F.col("lcomp") != F.col("comp")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent))
-            old = stars.join(l, "a").join(r, "b").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            other = few.select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
+            inner = few.join(other, "key").filter((F.col("lid") < F.col("id")) & (F.col("lcomp") != F.col("comp")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent))
+            old = _between(stars.select("a", "b"), labels).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = old.unionByName(inner.select(F.col("lid").alias("a"), F.col("id").alias("b"))).distinct()
         else:
-            many = live.filter(F.col("c") > p.small)
-            pairs = many.join(_leader(many, step), ["band", "key"]).filter((F.col("lcomp") != F.col("comp")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent)).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
-        labels, found = _join(labels, _confirm(pairs, sets, p.percent))
+            if live.isEmpty():
+                break
+            pairs = live.join(_leaders(live, step, p.leaders), "key").filter((F.col("lcomp") != F.col("comp")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent)).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
+        links = stored(_between(_confirm(pairs, sets, p.percent), labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
         release(live)
-        if not found and step > 1:
-            break
-
-    out = signed.drop("keys").join(classes.select("s1", "s2", "id"), ["s1", "s2"], "left").join(labels, "id", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id")))
+        if links.isEmpty():
+            idle += step > 1
+            if idle == 2:
+                break
+            continue
+        idle = 0
+        merged = components(links).withColumnsRenamed({"id": "_old", "comp": "_new"})
+        # members follow their component; its root, which had no label so far, gets one
+        moved = labels.join(merged, F.col("comp") == F.col("_old"), "left").select("id", F.coalesce("_new", "comp").alias("comp"))
+        labels = stored(moved.unionByName(merged.select(F.col("_old").alias("id"), F.col("_new").alias("comp"))), "labels")
+
+    heads_of = _labelled(heads.select("s1", "s2", "id"), labels).select("s1", "s2", "comp")
+    out = signed.drop("keys").join(heads_of, ["s1", "s2"], "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _join(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """Labels after the links are added, and whether any were."""
-    l = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-    r = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    between = stored(links.join(l, "a").join(r, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
-    if between.isEmpty():
-        return labels, False
-    merged = components(between)
-    return stored(_relabel(labels, merged), "labels"), True
+def _mixed(known: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return known.join(several, "key")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of their ``id``."""
+    l = labels.select(F.col("id").alias("_id"), F.col("comp").alias("_comp"))
+    return rows.join(l, F.col("id") == F.col("_id"), "left").withColumn("comp", F.coalesce("_comp", "id")).drop("_id", "_comp")
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components, with these as (ca, cb)."""
+    l = labels.select(F.col("id").alias("_a"), F.col("comp").alias("_ca"))
+    r = labels.select(F.col("id").alias("_b"), F.col("comp").alias("_cb"))
+    j = pairs.join(l, F.col("a") == F.col("_a"), "left").join(r, F.col("b") == F.col("_b"), "left")
+    return j.select("a", "b", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb")).filter("ca <> cb")
