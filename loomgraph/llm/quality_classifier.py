@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, smallest_hashes, stored
 from .textstats import BUCKETS, COUNTS, counts, shape_features
 
 #: Documents that train the linear scorer, at most; those with the smallest id hashes.
@@ -144,7 +144,7 @@ def classify(docs: DataFrame, max_train: int = MAX_TRAIN, reject_below: float =
     voted = seen.filter("n_words > 0").select("rid", "f", "v", *[votes[k].cast("int").alias(k) for k in names])
     patterns = voted.groupBy(*names).count().toPandas()
     model = expectation_maximisation(patterns[names].to_numpy(np.int64).reshape(-1, len(names)), patterns["count"].to_numpy(float))
-    sample: pd.DataFrame = voted.filter("rid is not null").orderBy(F.xxhash64("rid"), "rid").limit(max_train).toPandas()
+    sample: pd.DataFrame = smallest_hashes(voted.filter("rid is not null"), "rid", max_train).toPandas()
     target = model.posterior(sample[names].to_numpy(np.int64).reshape(-1, len(names))) if len(sample) else np.zeros(0)
     weights = fit_linear([(np.asarray(f), np.asarray(v)) for f, v in zip(sample["f"], sample["v"])], target)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, smallest_hashes, stored
 from .textstats import COUNTS, counts
 
 #: Labelled rows used to learn, at most; those with the smallest id hashes.
@@ -164,10 +164,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
     """
     stats = stored(document_counts(docs), "counts")
     some = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)  # a size-bounded side
+    some = smallest_hashes(some, "doc_id", max_labels)  # a size-bounded side
     f = features()
     names = list(f)
-    rows = stats.join(F.broadcast(some), "doc_id").filter(~base_failed()).select("doc_id", "quality", *[f[k].alias(f"f_{k}") for k in names]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).toPandas()
+    rows = stats.join(F.broadcast(some), "doc_id").filter(~base_failed()).select("doc_id", "quality", *[f[k].alias(f"f_{k}") for k in names]).orderBy("doc_id").limit(max_labels).toPandas()
     rules = learn(rows[[f"f_{k}" for k in names]].to_numpy(float), (rows["quality"] == 0).to_numpy(), names)
     out = stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return out, rules

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, split_words, stored
+from .common import chunks, smallest_hashes, split_words, stored
 
 #: Labelled rows used to learn, at most; those with the smallest id hashes among rows that may teach.
 MAX_LABELS = 20_000
@@ -244,7 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, t
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = labels.filter("doc_id is not null and toxic is not null").filter(may_teach(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)  # a size-bounded side
+    some = smallest_hashes(some, "doc_id", max_labels)  # a size-bounded side
     sample = stored(texts.join(F.broadcast(some), "doc_id").select("text", "toxic").filter("text is not null"), "labelled")
     lexicon, g = induce(sample), grammar()
 
