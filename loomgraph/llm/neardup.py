@@ -21,9 +21,7 @@ class Params:
     percent: int = 80  #: least similarity, in hundredths
     bands: int = 32
     rows: int = 4
-    small: int = 12  #: buckets of at most so many classes are settled pair by pair where components differ
-    leaders: int = 4  #: stars that a large bucket gives in each later round
-    rounds: int = 8  #: later rounds, at most; after two in a row that join nothing there are no more
+    small: int = 12  #: buckets of at most so many classes are settled pair by pair where components differ, larger ones by a join on rare shingles
 
 
 # --------------------------------------------------------------------------- shingles and signatures
@@ -192,28 +190,43 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 # --------------------------------------------------------------------------- candidate edges
 
 
-def _leaders(members: DataFrame, salt: int, most: int) -> DataFrame:
-    """Up to ``most`` members of each bucket: of the components with fewest members there, pseudorandom ones, others for each salt.
-
-    A class that only a few members of a large component resemble is alone in its buckets, so it soon leads one.
-    """
-    spots = range(most)
-    one = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), *[F.min(F.struct(F.xxhash64("id", "key", F.lit(salt * most + i)).alias("h"), "id", "n")).alias(f"x{i}") for i in spots])
-    got = one.groupBy("key").agg(*[F.min(F.struct("m", f"x{i}", "comp")).alias(f"l{i}") for i in spots])
-    lead = lambda i: F.struct(F.col(f"l{i}.x{i}.id").alias("lid"), F.col(f"l{i}.x{i}.n").alias("ln"), F.col(f"l{i}.comp").alias("lcomp"))
-    return got.select("key", F.explode(F.array_distinct(F.array(*[lead(i) for i in spots]))).alias("l")).select("key", "l.*")
+#: Classes with one shingle that a task compares with all others of that shingle.
+BLOCK = 500
 
 
-def _linkable(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ids of ``live`` that may still link: too many shingles that no other live class has rule a link out.
+def _linkable(each: DataFrame, percent: int) -> DataFrame:
+    """Sets (id, k) that may still link: too many shingles that no other one has rule a link out.
 
     At most n - p of a set's n shingles can be shared if p are its own, and a union is never below n.
     """
-    ids = live.select(F.col("id").alias("doc_id"), "n").distinct()
-    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("sh").alias("s"))
-    own = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("p"))
+    own = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "k")).alias("x")).filter("c = 1").groupBy("x.id", "x.k").agg(F.count(F.lit(1)).alias("p"))
     left = F.col("n") - F.coalesce("p", F.lit(0))
-    return ids.join(own, "doc_id", "left").filter(left * 100 >= F.col("n") * percent).select(F.col("doc_id").alias("id"))
+    return each.select("id", "k", "n").distinct().join(own, ["id", "k"], "left").filter(left * 100 >= F.col("n") * percent).select("id", "k")
+
+
+def _rare_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``live`` classes (id, comp) in different components that may be similar enough: a prefix-filter join.
+
+    Shingles have one order for all, rare ones first. Sets of similarity ``percent`` share one of their first
+    n - ceil(n * percent / 100) + 1; after the first they share, enough must be left on both sides. A shingle's
+    classes are compared in blocks of about ``BLOCK`` against all, so a common one is spread over tasks.
+    """
+    comps = live.select("id", "comp").distinct()
+    whole = sets.join(comps, sets["doc_id"] == comps["id"]).select("id", "comp", F.xxhash64("sh").alias("k"), F.size("sh").alias("n"), "sh").dropDuplicates(["id", "k"])
+    able = stored(_linkable(whole.select("id", "k", "n", F.explode("sh").alias("s")), percent), "able")
+    each = whole.join(able, ["id", "k"], "left_semi").select("id", "comp", "k", "n", F.explode("sh").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    ranked = each.join(often, "s").groupBy("id", "comp", "k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
+    first = F.slice("x", F.lit(1), F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1)
+    rare = stored(ranked.select("id", "comp", "n", F.posexplode(first).alias("i", "y")).select("id", "comp", "n", "i", "y.s", "y.c").filter("c > 1"), "rare")
+    several = rare.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+    rare = rare.join(several, "s", "left_semi").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    left = rare.select("s", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "comp", "n", "i")
+    right = rare.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    rest = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")).cast("long")
+    enough = rest * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    met = left.join(right, ["s", "block"]).filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & enough)
+    return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -236,8 +249,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     2. Classes are dealt into buckets by band. Each bucket gives a star: edges from a pseudorandom member to the
        others, so a bucket of n gives n - 1 pairs, not n^2. A class's best edge (most bands) is confirmed first.
     3. Links found make components. Only buckets that still hold several components go on: all remaining star
-       edges between components, every pair between components of small buckets, then stars around other
-       members of the large ones, until a round joins nothing.
+       edges between components, every pair between components of small buckets, then every pair between
+       components of the classes in large ones that a prefix filter can't rule out.
     Sets are read in full for every class that has a candidate edge, and every link is confirmed on them.
 
     Returns one row per input row: ``doc_id``, ``n_shingles`` (0 for texts null, empty or without words, which link with
@@ -266,31 +279,22 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     best = stars.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     labels = stored(components(_confirm(best, sets, p.percent)), "labels")
 
-    idle, able = 0, None
-    for step in range(1, p.rounds + 2):
-        if step == 2:  # from here on large buckets only, without the classes that can't link to any other in them
-            big = stored(_mixed(_labelled(members.filter(F.col("c") > p.small).select("key", "id", "n", "c"), labels)), "big")
-            able = stored(big.join(_linkable(big, sets, p.percent), "id", "left_semi").select("key", "id", "n", "c"), "able")
-            release(big)
-        live = stored(_mixed(_labelled((members if able is None else able).select("key", "id", "n", "c"), labels)), "live")
-        if step == 1:
+    for step in ("small", "large"):
+        live = stored(_mixed(_labelled(members.filter(F.col("c") > (p.small if step == "large" else 1)).select("key", "id", "n", "c"), labels)), "live")
+        if step == "small":
             few = live.filter(F.col("c") <= p.small)
             other = few.select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
             inner = few.join(other, "key").filter((F.col("lid") < F.col("id")) & (F.col("lcomp") != F.col("comp")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent))
             old = _between(stars.select("a", "b"), labels).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = old.unionByName(inner.select(F.col("lid").alias("a"), F.col("id").alias("b"))).distinct()
+        elif live.isEmpty():
+            break
         else:
-            if live.isEmpty():
-                break
-            pairs = live.join(_leaders(live, step, p.leaders), "key").filter((F.col("lcomp") != F.col("comp")) & _sizes_fit(F.col("n"), F.col("ln"), p.percent)).select(F.least("lid", "id").alias("a"), F.greatest("lid", "id").alias("b")).distinct()
+            pairs = _rare_pairs(live, sets, p.percent)
         links = stored(_between(_confirm(pairs, sets, p.percent), labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
         release(live)
         if links.isEmpty():
-            idle += step > 1
-            if idle == 2:
-                break
             continue
-        idle = 0
         merged = components(links).withColumnsRenamed({"id": "_old", "comp": "_new"})
         # members follow their component; its root, which had no label so far, gets one
         moved = labels.join(merged, F.col("comp") == F.col("_old"), "left").select("id", F.coalesce("_new", "comp").alias("comp"))

@@ -295,6 +295,24 @@ def test_near_duplicates(spark, docs, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_sole_link_between_components_of_large_buckets(spark):
+    """Hundreds of texts that share a passage but aren't similar enough; two groups of three that hang together by one pair."""
+    rng = np.random.default_rng(3)
+    pool = [f"r{i}" for i in range(800)]
+    draw = lambda n, without=(): [str(w) for w in rng.choice([w for w in pool if w not in set(without)], n, replace=False)]
+    rest = [draw(100) for _ in range(600)]
+    a, common = rest[0], rest[0][:46]
+    b = common + draw(54, a)
+    near = lambda own, other: common[5:] + own[46:] + draw(5, own + other)
+    groups = [a, near(a, b), near(a, b), b, near(b, a), near(b, a)]
+    rows = [(k, " ".join([f"t{i}" for i in range(400)] + r)) for k, r in enumerate(groups + rest[1:])]
+    sets = {k: set(t.split()) for k, t in rows}
+    alike = {(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert alike == {(0, 1), (0, 2), (1, 2), (0, 3), (3, 4), (3, 5), (4, 5)}
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Params(width=1, small=4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {k: 0 if k < 6 else k for k in sets}
+
+
 def test_densification_fills_every_bin():
     owner, sh = np.array([0, 2, 2]), np.array([5, 6, 7], np.uint64)
     sig = neardup.signatures(owner, sh, 3, 32)
