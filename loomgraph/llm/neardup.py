@@ -24,6 +24,10 @@ class Params:
     small: int = 12  #: buckets of at most so many classes are settled pair by pair where components differ, larger ones by a join on rare shingles
 
 
+#: What near_duplicates and the pipeline's stage take: with five words a scattered edit costs five shingles, so fewer clean texts are joined.
+FIVE_WORDS = Params(width=5)
+
+
 # --------------------------------------------------------------------------- shingles and signatures
 
 
@@ -242,7 +246,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, p: Params = FIVE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Group documents whose distinct ``width``-word shingles (ASCII letters lower-cased) have Jaccard similarity of ``percent`` or more.
 
     1. Every document gets a signature; documents with equal sets are one class, whose smallest id stands for it.

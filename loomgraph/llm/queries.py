@@ -57,7 +57,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Params(width=2))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

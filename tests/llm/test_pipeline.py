@@ -50,3 +50,12 @@ def test_empty_tables(spark):
         docs = stored(stage(spark, docs, SF), "empty")
         assert docs.columns == empty.columns and docs.count() == 0
     assert cp.tokens(spark, docs, SF).count() == 0
+
+
+def test_near_duplicate_stage_compares_five_words(spark):
+    """Four of 100 words changed, far apart: 2-word similarity 91 / 107, above 0.8; 5-word similarity 76 / 116."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join(f"x{i}" if i in (20, 40, 60, 80) else w for i, w in enumerate(words)), " ".join(words[:-1])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in cp.near_duplicates(spark, docs, SF).collect()} == {0, 1}
+    assert {r["doc_id"] for r in neardup.near_duplicates(docs, neardup.Params(width=2)).filter("kept").collect()} == {0}
