@@ -124,7 +124,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every found span by ``[KIND]``; of overlapping spans the one that starts first (then the longer) stands.
+    """Replace every found span by ``[KIND]``; overlapping spans go as one, by the kind of the one that starts first (then the longer).
 
     Needs the column ``pii`` of :func:`find_pii`. Texts without spans, null and empty ones included, stay as they are.
     """
@@ -134,7 +134,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         keep = F.concat(acc["out"], F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["start"] >= acc["at"], F.struct((-x["n"]).alias("at"), keep.alias("out"))).otherwise(acc)
+        return F.when(x["start"] >= acc["at"], F.struct((-x["n"]).alias("at"), keep.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], -x["n"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
     return docs.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(body))

@@ -250,6 +250,15 @@ def test_mix_meets_targets(spark, docs, odd, none, block):
     assert mixing.taken(rows, parts).count() == 0
 
 
+def test_partly_overlapping_spans_go_as_one(spark):
+    span = lambda kind, start, end: (kind, start, end, "", 1.0)
+    schema = "text string, pii array<struct<kind:string,start:int,end:int,text:string,score:double>>"
+    rows = [("call +1 555 123 4567bob@x.com now", [span("email", 16, 29), span("phone", 5, 20)]), ("ab cd", [span("ip", 0, 2), span("card", 0, 1), span("ssn", 2, 3)])]
+    out = [r["text"] for r in pii.redact(spark.createDataFrame(rows, schema)).collect()]
+    assert out == ["call [PHONE] now", "[IP][SSN]cd"]
+    assert pii.redact(pii.find_pii(spark.createDataFrame([("+1 555 123 4567bob@x.com",)], "text string"))).first()["text"] == "[PHONE]"
+
+
 # --------------------------------------------------------------------------- 8 near-duplicates
 
 
