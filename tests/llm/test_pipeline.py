@@ -59,3 +59,11 @@ def test_near_duplicate_stage_compares_five_words(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in cp.near_duplicates(spark, docs, SF).collect()} == {0, 1}
     assert {r["doc_id"] for r in neardup.near_duplicates(docs, neardup.Params(width=2)).filter("kept").collect()} == {0}
+
+
+def test_texts_under_one_id_are_kept_apart(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (4, "other words"), (4, "other words"), (None, b), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(t.split()[0] for _, t in out) == ["no", "other", "v0", "w0"]
