@@ -45,27 +45,30 @@ def pagerank(pairs: DataFrame, damping: float = 0.85, max_iter: int = 100, toler
     return ranks.select("id", "score")
 
 
-def ppr_rounds(pairs: DataFrame, seeds: dict[str, float], alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 200) -> DataFrame:
+def ppr_rounds(pairs: DataFrame, seeds: dict[str, float] | DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 200) -> DataFrame:
     """Personalised PageRank by synchronous pushes, for graphs beyond one task: (id, score) of touched nodes.
 
-    In each round every node whose residual exceeds epsilon times its out-degree is pushed at once; the guarantee is
-    that of the sequential push: no residual above that bound remains.
+    Seeds are a dict or a table (id, m). In each round every node whose residual exceeds epsilon times its out-degree is
+    pushed at once; the guarantee is that of the sequential push: no residual above that bound remains, but on nodes
+    without out-edges, which keep what they would send on and are pushed again only when they get more.
     """
-    total = sum(seeds.values()) or 1.0
+    if isinstance(seeds, dict):
+        seeds = pairs.sparkSession.createDataFrame(sorted(seeds.items()), "id string, m double")
+    total = seeds.agg(F.sum("m")).first()[0] or 1.0
     out = pairs.groupBy("a").agg(F.sum("w").alias("ws"), F.count(F.lit(1)).alias("d"))
     e = settle(pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).join(out.select("a", "ws"), "a").select("a", "b", F.when(F.col("ws") > 0, F.col("w") / F.col("ws")).otherwise(0.0).alias("share")))
     deg = settle(ends(pairs).join(out.select(F.col("a").alias("id"), "d"), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d")))
-    state = settle(pairs.sparkSession.createDataFrame([(s, 0.0, m / total) for s, m in sorted(seeds.items())], "id string, p double, r double").join(deg, "id", "left").na.fill({"d": 0}))
+    state = settle(seeds.select("id", F.lit(0.0).alias("p"), (F.col("m") / F.lit(total)).alias("r"), F.lit(True).alias("fresh")).join(deg, "id", "left").na.fill({"d": 0}))
     for _ in range(max_rounds):
-        hot = F.col("r") > F.lit(epsilon) * F.greatest(F.col("d"), F.lit(1))
+        hot = F.col("fresh") & (F.col("r") > F.lit(epsilon) * F.greatest(F.col("d"), F.lit(1)))
         push = state.filter(hot)
         if push.isEmpty():
             break
         sent = push.join(e, push["id"] == e["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.lit(1 - alpha) * F.col("r") * F.col("share")).alias("in"))
-        kept = state.select("id", F.when(hot, F.col("p") + F.lit(alpha) * F.col("r") + F.when(F.col("d") == 0, F.lit(1 - alpha) * F.col("r")).otherwise(0.0)).otherwise(F.col("p")).alias("p"), F.when(hot, F.lit(0.0)).otherwise(F.col("r")).alias("r"))
-        merged = kept.join(sent, "id", "full_outer").select("id", F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("r", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))).alias("r"))
+        kept = state.select("id", F.when(hot, F.col("p") + F.lit(alpha) * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(hot, F.when(F.col("d") == 0, F.lit(1 - alpha) * F.col("r")).otherwise(0.0)).otherwise(F.col("r")).alias("r"))
+        merged = kept.join(sent, "id", "full_outer").select("id", F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("r", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))).alias("r"), F.col("in").isNotNull().alias("fresh"))
         state = settle(merged.join(deg, "id", "left").na.fill({"d": 0}))
-    return state.filter("p > 0").select("id", F.col("p").alias("score"))
+    return state.filter("p + r > 0").select("id", F.col("p").alias("score"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..algorithms.kernels import ppr, run_kernel
+from ..algorithms.kernels import personalised
 from ..functions.scalar import domain, lexical_score, snippet, title_from_url
 from ..iterate import settle
 from ..operators.match import reach
@@ -71,15 +71,13 @@ def substrate_search(pages: DataFrame, links: DataFrame, query: str, limit: int
     terms = sorted({t for t in query.lower().split() if t})
     lex = pages.select("id", lexical_score(F.col("url"), F.col("text"), terms).alias("s")).filter("s > 0")
     dense = dense_scores(pages, query).filter(F.col("dense") >= DENSE_LEAST).select("id", F.col("dense").alias("s")).orderBy(F.desc("s"), "id").limit(DENSE_TOP)
-    # ranks are given to hits alone, and only the best of them matter to a report of ``limit`` rows
+    # ranks are given to hits alone; all of them seed the PageRank
     rank = lambda df: df.select("id", (1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("s"), "id")))).alias("r"))
     fused = settle(rank(lex).unionByName(rank(dense)).groupBy("id").agg(F.sum("r").alias("rrf")))
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     rings = reach(fused.select("id"), both, RINGS).withColumnRenamed("depth", "ring")
-    seeds = {r["id"]: r["rrf"] for r in fused.orderBy(F.desc("rrf"), "id").limit(1000).collect()}  # a report's seeds
-    total = sum(seeds.values())
-    if seeds and not both.isEmpty():
-        scores = run_kernel(both.withColumn("w", F.lit(1.0)), lambda pdf: ppr(pdf, {k: v / total for k, v in seeds.items()}, 0.15, 1e-5), "id string, score double").withColumnRenamed("score", "ppr")
+    if not fused.isEmpty() and not both.isEmpty():
+        scores = personalised(both.withColumn("w", F.lit(1.0)), fused.select("id", F.col("rrf").alias("m")), 0.15, 1e-5).filter("score > 0").withColumnRenamed("score", "ppr")  # a match that no push reached falls back to its fused score
     else:
         scores = pages.sparkSession.createDataFrame([], "id string, ppr double")
     j = rings.join(pages, "id").join(scores, "id", "left").join(fused, "id", "left")

@@ -2,9 +2,11 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.algorithms import kernels
 from loomgraph.functions import geometry, scalar
 from loomgraph.model import GraphError, PropertyGraph
 from loomgraph.operators import fulltext, memory, spatial, vector
@@ -162,3 +164,20 @@ def test_memory_and_cache(spark):
     c.put("query", {"q": 1}, 1, "v")
     assert c.get("query", {"q": 1}, 1) == "v" and c.get("query", {"q": 1}, 2) is None and c.check("query", {"q": 1}, 2) == "stale"
     assert c.invalidate(stale_before=2) == 1 and c.stats()["entries"] == 0
+
+
+def test_all_matches_seed_the_page_search(spark):
+    """1,500 equal matches in a ring: every page holds its own share of the mass, also those after the first thousand."""
+    n = 1500
+    pages = spark.createDataFrame([(f"p{i:04d}", f"http://h.com/{i}", "cats") for i in range(n)], "id string, url string, text string")
+    links = spark.createDataFrame([(f"p{i:04d}", f"p{(i + 1) % n:04d}") for i in range(n)], "a string, b string")
+    ranks = {f"p{i:04d}": 1 / (61 + i) for i in range(n)}
+    hits = {r["node_id"]: r["score"] for r in search.substrate_search(pages, links, "cats", limit=n).collect()}
+    both = pd.DataFrame([(f"p{i:04d}", f"p{(i + d) % n:04d}", 1.0) for i in range(n) for d in (1, -1)], columns=["a", "b", "w"])
+    assert len(hits) == n
+    top = search.dense_scores(pages, "cats").filter(F.col("dense") >= search.DENSE_LEAST).orderBy(F.desc("dense"), "id").limit(search.DENSE_TOP).collect()
+    for k, r in enumerate(top):
+        ranks[r["id"]] += 1 / (61 + k)
+    want = kernels.ppr(both, ranks, 0.15, 1e-5)
+    for i, s in zip(want["id"], want["score"]):
+        assert abs(hits[i] - s) < 1e-9
