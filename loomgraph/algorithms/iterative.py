@@ -91,6 +91,47 @@ def components(pairs: DataFrame) -> DataFrame:
     return alone.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """(id, component) as the kernel numbers them, by size descending, then smallest member, for graphs beyond one task.
+
+    Nodes without an edge in or out are components of their own. Of the others each gets the smallest id that reaches
+    it; those of one id that reach back to it are its component. Both go on until no node is left.
+    """
+    e = settle(pairs.filter("a <> b").select("a", "b").distinct())
+    left = settle(ends(pairs))
+    parts = []
+    while not left.isEmpty():
+        inner = settle(left.join(e.select(F.col("a").alias("id")), "id", "left_semi").join(e.select(F.col("b").alias("id")), "id", "left_semi"))
+        done = settle(left.join(inner, "id", "left_anti").withColumn("root", F.col("id")))
+        if done.isEmpty():
+            now = settle(left.withColumn("color", F.col("id")))
+            while True:
+                got = e.join(now, e["a"] == now["id"]).groupBy(F.col("b").alias("id")).agg(F.min("color").alias("new"))
+                after = settle(now.join(got, "id", "left").select("id", F.least("color", F.coalesce("new", "color")).alias("color"), F.col("color").alias("old")))
+                now = after.select("id", "color")
+                if after.filter("color <> old").isEmpty():
+                    break
+            ca, cb = now.select(F.col("id").alias("a"), F.col("color").alias("ca")), now.select(F.col("id").alias("b"), F.col("color").alias("cb"))
+            same = settle(e.join(ca, "a").join(cb, "b").filter("ca = cb").select("a", "b", F.col("ca").alias("root")))
+            done = edge = settle(now.filter("id = color").select("id", F.col("color").alias("root")))
+            while not edge.isEmpty():
+                edge = settle(same.join(edge.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), "root").distinct().join(done, "id", "left_anti").select("id", "root"))
+                done = settle(done.unionByName(edge))
+            inner = settle(left.join(done, "id", "left_anti"))
+        parts.append(done)
+        left = inner
+        e = settle(e.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    if not parts:
+        return left.select("id", F.lit(0).alias("component"))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rows = settle(rows)
+    first = rows.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("m"))
+    first = first.select("root", (F.row_number().over(Window.orderBy(F.desc("size"), "m")) - 1).alias("component"))
+    return rows.join(first, "root").select("id", "component")
+
+
 def component_list(labels: DataFrame) -> DataFrame:
     """(component_id, size, members): size descending, then member list. A member list is a report; for large components use the labels."""
 
@@ -193,4 +234,4 @@ def topological_levels(pairs: DataFrame) -> DataFrame:
     return parts if parts is not None else left.withColumn("level", F.lit(0))
 
 
-__all__ = ["component_list", "components", "dual_graph", "edge_pairs", "ends", "label_propagation", "modularity", "morphology_pass", "morphology_stats", "number_communities", "pagerank", "ppr_rounds", "topological_levels"]
+__all__ = ["component_list", "components", "dual_graph", "edge_pairs", "ends", "label_propagation", "modularity", "morphology_pass", "morphology_stats", "number_communities", "pagerank", "ppr_rounds", "strong_components", "topological_levels"]

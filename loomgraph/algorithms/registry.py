@@ -90,7 +90,7 @@ def _ppr(g: PropertyGraph, seeds: dict[str, float], alpha: float, epsilon: float
     pairs = iterative.edge_pairs(g)
     if distributed:
         return iterative.ppr_rounds(pairs, seeds, alpha, epsilon)
-    return kernels.run_kernel(pairs, lambda pdf: kernels.ppr(pdf, seeds, alpha, epsilon, max_pushes), "id string, score double")
+    return kernels.personalised(pairs, seeds, alpha, epsilon, max_pushes, kernels.KERNEL_EDGES)
 
 
 def _components(g: PropertyGraph, directed: bool) -> DataFrame:
@@ -141,7 +141,7 @@ register(Operation("communities", "Synchronous label propagation", _communities,
 register(Operation("louvain", "Former name of communities", _communities, ("stream", "mutate"), {}, "community"))
 register(Operation("leiden", "Connected communities by local moves, refinement and aggregation", lambda g, gamma, seed, max_levels: kernels.run_kernel(iterative.edge_pairs(g), lambda pdf: kernels.leiden(pdf, gamma, seed, max_levels), "id string, community int"), ("stream", "mutate"), {"gamma": 1.0, "seed": 0, "max_levels": 10}, "community"))
 register(Operation("betweenness", "Brandes, exact or from sampled pivots", lambda g, directed, sample_size, seed: kernels.betweenness(iterative.edge_pairs(g), directed, sample_size, seed), ALL, {"directed": False, "sample_size": None, "seed": 0, "top_k": None}))
-register(Operation("scc", "Strongly connected components", lambda g: kernels.run_kernel(iterative.edge_pairs(g), kernels.strong_components, "id string, component int"), ("stream", "mutate"), {}, "component"))
+register(Operation("scc", "Strongly connected components", lambda g: kernels.auto(iterative.edge_pairs(g), kernels.strong_components, iterative.strong_components, "id string, component int", kernels.KERNEL_EDGES), ("stream", "mutate"), {}, "component"))
 register(Operation("cut_points", "Articulation points and bridges", lambda g: kernels.per_component(iterative.edge_pairs(g), kernels.cut_points, "kind string, a string, b string")))
 register(Operation("topological_sort", "Kahn's order, smallest id first", lambda g: kernels.run_kernel(iterative.edge_pairs(g), kernels.topological_sort, "position int, id string")))
 register(Operation("node_similarity", "Jaccard or overlap of neighbour sets", _similar, ("stream", "stats"), {"metric": "jaccard", "degree_cutoff": 1, "similarity_cutoff": 0.0, "top_k": 10, "label": None}, "similarity"))

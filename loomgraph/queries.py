@@ -288,14 +288,14 @@ def _(spark, d):
 @query("strong_components", "SELECT printf('turn:%08d:%04d', conv_id, turn) AS id FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 0))")
 def _(spark, d):
     pairs = iterative.edge_pairs(td.turns(spark, d))
-    out = kernels.run_kernel(pairs, kernels.strong_components, "id string, component int")
+    out = kernels.auto(pairs, kernels.strong_components, iterative.strong_components, "id string, component int", kernels.KERNEL_EDGES)
     return out.join(out.groupBy("component").count().filter("count = 1"), "component").select("id")
 
 
 @query("personalised_pagerank")
 def _(spark, d):
     pairs = td.trade(spark, d)
-    return kernels.run_kernel(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), lambda pdf: kernels.ppr(pdf, {"customer:1": 1.0}), "id string, score double").orderBy(F.desc("score"), "id").limit(10)
+    return kernels.personalised(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), {"customer:1": 1.0}).orderBy(F.desc("score"), "id").limit(10)
 
 
 @query("communities")

@@ -136,3 +136,22 @@ def test_registry(spark):
             registry.call(g, bad[0], bad[1], **bad[2])
     assert {"pagerank", "leiden", "ppr"} <= {o["name"] for o in registry.catalog()}
     assert [r["id"] for r in registry.call(g, "shortest_path", source="a", target="c").orderBy("step").collect()] == ["a", "b", "c"]
+
+
+def test_personalised_pagerank_beyond_the_kernel(spark, monkeypatch):
+    p = pairs(spark, [("a", "b", 1.0), ("a", "c", 0.5), ("b", "a"), ("c", "a"), ("c", "d")])
+    kernel = {r["id"]: r["score"] for r in kernels.personalised(p, {"a": 1.0, "x": 1.0}, epsilon=1e-7).collect()}
+    loop = {r["id"]: r["score"] for r in kernels.personalised(p, {"a": 1.0, "x": 1.0}, epsilon=1e-7, limit=3).collect()}
+    assert set(kernel) == set(loop) == {"a", "b", "c", "d", "x"} and all(abs(kernel[i] - loop[i]) < 1e-5 for i in "abcx")
+    monkeypatch.setattr(kernels, "KERNEL_EDGES", 3)
+    none = spark.createDataFrame([], "id string, labels array<string>, properties string")
+    g = PropertyGraph.of(none, spark.createDataFrame([(f"e{k}", x, y, "T") for k, (x, y) in enumerate(TRIANGLES)], "id string, from_id string, to_id string, type string"))
+    assert registry.call(g, "ppr", seeds={"a": 1.0}).count() == 6
+    assert got(registry.call(g, "scc"), "id", "component") == {*((v, 0) for v in "abc"), *((v, 1) for v in "def")}
+
+
+def test_strong_components_loop_equals_kernel(spark):
+    rng = np.random.default_rng(4)
+    p = pairs(spark, [(f"n{a:02d}", f"n{b:02d}") for a, b in rng.integers(0, 40, (55, 2))] + [("z1", "z2"), ("z2", "z3")])
+    want = {tuple(r) for r in kernels.strong_components(p.toPandas()).itertuples(index=False)}
+    assert got(iterative.strong_components(p), "id", "component") == want
