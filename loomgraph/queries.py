@@ -255,7 +255,11 @@ def _(spark, d):
     j AS (SELECT 'supplier:' || s1 AS node1, 'supplier:' || s2 AS node2, c / (k1.d + k2.d - c) AS sim FROM x JOIN k k1 ON k1.s = s1 JOIN k k2 ON k2.s = s2),
     r AS (SELECT *, row_number() OVER (PARTITION BY node1 ORDER BY sim DESC, node2) AS rn FROM j) SELECT node1, node2, round(sim, 6) AS similarity FROM r WHERE rn <= 10""")
 def _(spark, d):
-    l = td.table(spark, d, "lineitem").filter("l_orderkey < 1200").select(td.ref("supplier", "l_suppkey").alias("a"), td.ref("part", "l_partkey").alias("b")).distinct()
+    return _supplier_similarity(spark, d, "l_orderkey < 1200")
+
+
+def _supplier_similarity(spark: SparkSession, d: str, rows: str) -> DataFrame:
+    l = td.table(spark, d, "lineitem").filter(rows).select(td.ref("supplier", "l_suppkey").alias("a"), td.ref("part", "l_partkey").alias("b")).distinct()
     only = l.select(F.col("a").alias("id")).distinct()
     return similarity.node_similarity(l, top_k=10, only=only).select("node1", "node2", F.round("similarity", 6).alias("similarity"))
 
@@ -274,7 +278,11 @@ def _(spark, d):
     k AS (SELECT c, count(*) AS k FROM (SELECT ca AS c FROM x UNION ALL SELECT cb FROM x) GROUP BY 1), i AS (SELECT ca AS c, 2.0 * count(*) AS e FROM x WHERE ca = cb GROUP BY 1)
     SELECT round(sum(coalesce(e, 0) / m2 - pow(k / m2, 2)), 9) AS modularity FROM k LEFT JOIN i USING (c), m""")
 def _(spark, d):
-    c = td.table(spark, d, "customer").filter("c_nationkey < 20")
+    return _nation_modularity(spark, d, "c_nationkey < 20")
+
+
+def _nation_modularity(spark: SparkSession, d: str, rows: str) -> DataFrame:
+    c = td.table(spark, d, "customer").filter(rows)
     pairs = c.select(td.ref("customer", "c_custkey").alias("a"), td.ref("nation", "c_nationkey").alias("b"), F.lit(1.0).alias("w"))
     labels = c.select(td.ref("customer", "c_custkey").alias("id"), (F.col("c_custkey") % 4).alias("community")).unionByName(c.select(td.ref("nation", "c_nationkey").alias("id"), (F.col("c_nationkey") % 4).cast("long").alias("community")).distinct())
     return iterative.modularity(pairs, labels).select(F.round("modularity", 9).alias("modularity"))
@@ -305,7 +313,7 @@ def _(spark, d):
 
 @query("leiden")
 def _(spark, d):
-    return kernels.run_kernel(iterative.edge_pairs(td.turns(spark, d)).filter("a < 'turn:00000200'"), kernels.leiden, "id string, community int")
+    return kernels.run_kernel(iterative.edge_pairs(td.turns(spark, d)), kernels.leiden, "id string, community int")
 
 
 @query("betweenness", "SELECT printf('turn:%08d:%04d', c.conv_id, c.turn) AS id, (c.turn * (m.last - c.turn))::DOUBLE AS score FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id < 20) c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1 HAVING max(turn) > 0) m USING (conv_id)")
@@ -332,10 +340,47 @@ def _(spark, d):
 
 @query("morphology_dual", "WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey < 50), s AS (SELECT l_orderkey || '/' || l_linenumber AS seg, unnest([a, b]) AS p FROM e) SELECT DISTINCT x.seg AS a, y.seg AS b FROM s x JOIN s y ON x.p = y.p AND x.seg <> y.seg")
 def _(spark, d):
-    l = td.table(spark, d, "lineitem").filter("l_orderkey < 50")
+    return _line_dual(spark, d, "l_orderkey < 50")
+
+
+def _line_dual(spark: SparkSession, d: str, rows: str) -> DataFrame:
+    l = td.table(spark, d, "lineitem").filter(rows)
     return iterative.dual_graph(l.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
 
 
+# Whole tables. The queries of these names without _whole keep the id subsets that their SQL has.
+
+
+@query("node_similarity_whole")
+def _(spark, d):
+    return _supplier_similarity(spark, d, "true")
+
+
+@query("modularity_whole")
+def _(spark, d):
+    return _nation_modularity(spark, d, "true")
+
+
+@query("topological_levels_whole")
+def _(spark, d):
+    return iterative.topological_levels(iterative.edge_pairs(td.turns(spark, d)))
+
+
+@query("betweenness_whole")
+def _(spark, d):
+    return kernels.per_component(iterative.edge_pairs(td.turns(spark, d)), kernels.component_betweenness, "id string, score double")
+
+
+@query("cut_points_whole")
+def _(spark, d):
+    return kernels.per_component(iterative.edge_pairs(td.turns(spark, d)), kernels.cut_points, "kind string, a string, b string").select("kind", "a")
+
+
+@query("morphology_dual_whole")
+def _(spark, d):
+    return _line_dual(spark, d, "true")
+
+
 # --------------------------------------------------------------------------- versions
 
 
