@@ -552,5 +552,4 @@ def _(spark, d):
 
 @query("mentions", "SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9_])@([A-Za-z0-9][A-Za-z0-9_.:-]*)', 2)) AS m FROM documents WHERE text NOT LIKE '%`%') GROUP BY 1")
 def _(spark, d):
-    docs = td.table(spark, d, "documents").filter("not contains(text, '`')")
-    return memory.mentioned(docs, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return memory.mentioned(td.table(spark, d, "documents"), "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))

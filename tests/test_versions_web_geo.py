@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import queries
 from loomgraph.algorithms import kernels
 from loomgraph.functions import geometry, scalar
 from loomgraph.model import GraphError, PropertyGraph
@@ -181,3 +182,9 @@ def test_all_matches_seed_the_page_search(spark):
     want = kernels.ppr(both, ranks, 0.15, 1e-5)
     for i, s in zip(want["id"], want["score"]):
         assert abs(hits[i] - s) < 1e-9
+
+
+def test_mentions_beside_code(spark, tmp_path):
+    rows = [(1, "@ann and `@code` here"), (2, "```\n@fenced\n``` then @bob, @cy"), (3, "only `@code`"), (4, "@dee")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in queries.QUERIES["mentions"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 2), (4, 1)}
