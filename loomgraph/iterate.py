@@ -13,17 +13,20 @@ _local: str | None = None
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share, named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share, named by ``spark.checkpoint.dir``; where that is unset, a local one in local mode, else an error."""
     global _local
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     return _local
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
