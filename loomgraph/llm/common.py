@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,39 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..iterate import remove, scratch
+
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to the numpy kernels in pieces of about this many bytes, so memory follows the longest text, not the batch.
 CHUNK_BYTES = 4 << 20
 
-_local_scratch: str | None = None
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``; a local one only where that is unset."""
-    global _local_scratch
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if _local_scratch is None:
-        _local_scratch = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    return _local_scratch
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, removed when the driver process ends."""
-    path = f"{scratch_root(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
-            delete(spark, path)
+            remove(spark, path)
         except Exception:  # the session may be gone by then; the folder is scratch
             pass
 
@@ -66,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Drop scratch tables that no later plan reads."""
     for f in frames:
-        delete(f.sparkSession, f._scratch)
+        remove(f.sparkSession, f._scratch)
 
 
 def smallest_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -137,10 +117,12 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, group: list[str] =
     """Add ``before`` (sum of ``value`` over earlier rows) and ``row`` (number of earlier rows), per ``group``, in ``group, order``.
 
     A range shuffle deals the rows evenly whatever the group sizes, each partition sums itself, and the sums
-    before each partition come from one total a partition and group. ``order`` must be total up to equal rows.
-    Null groups form one group; an empty table stays empty.
+    before each partition come from one total a partition and group. ``order`` must be total up to equal rows;
+    those may lie in several ranges, by the input partition that they come from. Null groups form one group; an
+    empty table stays empty.
     """
-    keyed = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*group, *order]]).withColumn("_part", F.spark_partition_id())
+    keyed = df.withColumn("_from", F.spark_partition_id())
+    keyed = keyed.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*group, *order, "_from"]]).drop("_from").withColumn("_part", F.spark_partition_id())
     keyed = stored(keyed, "ranges")  # the ranges are sampled: totals and running sums must see the same ones
     inside = Window.partitionBy("_part", *group).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn("_nth", F.count(F.lit(1)).over(inside))
