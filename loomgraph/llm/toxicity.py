@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes (insult, threat, target, negation, reported speech, other, clause end). Small transducers, one for
-each phenomenon, rewrite the class stream and add weights; their composition runs over every clause that holds
-an insult or threat, and the document's score comes from its matched clauses, never from words alone.
+Words become classes (insult, threat, learned stem, target, negation, reported speech, other, clause end). One transducer
+for each phenomenon rewrites hot classes into aimed or weakened ones: a negated insult is another class than an insult.
+Those that look back are composed into one machine that runs left to right, those that look ahead into one that runs
+right to left. A document's score comes from how many of its clauses hold each rewritten class, never from words alone.
 """
 
 from __future__ import annotations
@@ -23,19 +24,38 @@ MAX_LABELS = 20_000
 #: A document counts as toxic from this score on.
 TOXIC_FROM = 0.3
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-CLASSES = ("other", "insult", "threat", "target", "negation", "report", "end")
+OTHER, INSULT, THREAT, LEARNED, TARGET, NEGATION, REPORT, END = range(8)
+HOT = (INSULT, THREAT, LEARNED)
+#: Marks that a transducer puts on a hot class.
+AIMED, WEAK = 1, 2
+SYMBOLS = 8 + 3 * len(HOT)
+
+
+def marked(symbol: int, mark: int) -> int:
+    """The class ``symbol`` with ``mark`` added; classes that aren't hot have no marks."""
+    base, had = unmarked(symbol)
+    if base not in HOT:
+        return symbol
+    had |= mark
+    return 8 + 3 * HOT.index(base) + had - 1
+
+
+def unmarked(symbol: int) -> tuple[int, int]:
+    """The class as read from the words, and its marks."""
+    return (symbol, 0) if symbol < 8 else (HOT[(symbol - 8) // 3], (symbol - 8) % 3 + 1)
+
+
+#: What a clause may hold, in the order of the weights: each hot class bare, aimed, weakened, both.
+VARIANTS = tuple(marked(h, m) if m else h for h in HOT for m in (0, AIMED, WEAK, AIMED | WEAK))
 
 #: Words of each class before anything is learned, by stem; a stem with $ must be the whole word.
 SEED = {
     INSULT: "idiot moron stupid$ loser$ losers$ scum$ trash$ clown$ pathetic$ worthless$ disgusting$ imbecile dumbass filth$ vermin$ garbage$ ugly$ coward",
     THREAT: "kill$ killing$ murder strangle hurt$ destroy$ crush$ beat$ shoot$ stab$ burn$",
-    TARGET: "you$ your$ yours$ yourself$ he$ him$ she$ her$ they$ them$ their$ people$ tu$ vous$ vos$ du$ dich$ dein ihr$ euch$ usted$ ustedes$ eres$",
+    TARGET: "you$ your$ yours$ yourself$ you're$ he$ him$ she$ her$ they$ them$ their$ people$ tu$ vous$ vos$ du$ dich$ dein ihr$ euch$ usted$ ustedes$ eres$",
     NEGATION: "not$ no$ never$ isn't$ aren't$ don't$ doesn't$ didn't$ won't$ without$ nicht$ kein nie$ pas$ jamais$ nunca$ ne$",
     REPORT: "said$ says$ told$ quote$ quoted$ called$ calls$ claimed$ wrote$ reported$ sagte$ dijo$ disait$",
 }
-#: Words of these classes are frequent; they alone start no clause.
-CONTEXT = (TARGET, NEGATION, REPORT)
 
 
 # --------------------------------------------------------------------------- transducers
@@ -43,63 +63,73 @@ CONTEXT = (TARGET, NEGATION, REPORT)
 
 @dataclass
 class Transducer:
-    """A deterministic weighted transducer: (state, class in) -> (state, class out, weight); state 0 starts every clause."""
+    """A deterministic transducer: (state, class in) -> (state, class out); state 0 starts every clause. Arcs that aren't listed change nothing."""
 
     states: int
-    arcs: dict[tuple[int, int], tuple[int, int, float]] = field(default_factory=dict)
+    arcs: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
+
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        return self.arcs.get((state, symbol), (state, symbol))
 
-    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
-        return self.arcs.get((state, symbol), (state, symbol, 0.0))
+    def run(self, symbols: list[int]) -> list[int]:
+        out, state, arcs = [], 0, self.arcs
+        for c in symbols:
+            state, c = arcs.get((state, c), (state, c))
+            out.append(c)
+        return out
 
 
-def after(trigger: int, reach: int, change: float, hit: tuple[int, ...] = (INSULT, THREAT)) -> Transducer:
-    """For ``reach`` words after ``trigger``, words of the classes ``hit`` get the weight ``change``; reach 0 means to the clause's end."""
+def near(trigger: int, reach: int, mark: int, hit: tuple[int, ...] = HOT) -> Transducer:
+    """Hot classes of ``hit`` among the ``reach`` words after ``trigger`` get ``mark``; reach 0 means up to the clause's end."""
     n = 2 if reach == 0 else reach + 1
     t = Transducer(n)
     for s in range(n):
-        for c in range(len(CLASSES)):
+        for c in range(SYMBOLS):
             nxt = 0 if c == END else n - 1 if c == trigger else s if reach == 0 else max(0, s - 1)
-            t.arcs[s, c] = (nxt, c, change if s and c in hit else 0.0)
+            t.arcs[s, c] = (nxt, marked(c, mark) if s and unmarked(c)[0] in hit else c)
     return t
 
 
-def base(insult: float, threat: float) -> Transducer:
-    """Each insult or threat has a weight; only the first few of a clause count, later ones half."""
-    t = Transducer(4)
-    for s in range(4):
-        for c in range(len(CLASSES)):
-            w = {INSULT: insult, THREAT: threat}.get(c, 0.0)
-            t.arcs[s, c] = (0 if c == END else min(3, s + 1) if w else s, c, w if s < 3 else w / 2)
+def phrase(kind: int) -> Transducer:
+    """Words of one hot class in a row are one phrase: all but the first become other words."""
+    t = Transducer(2)
+    for s in range(2):
+        for c in range(SYMBOLS):
+            own = unmarked(c)[0] == kind
+            t.arcs[s, c] = (int(own), OTHER if s and own else c)
     return t
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """The cascade a then b as one machine over pairs of states; weights add."""
+    """The cascade a then b as one machine over pairs of states: b reads what a writes."""
     out = Transducer(a.states * b.states)
     for s in range(a.states):
         for r in range(b.states):
-            for c in range(len(CLASSES)):
-                s2, mid, w = a.step(s, c)
-                r2, last, v = b.step(r, mid)
-                out.arcs[s * b.states + r, c] = (s2 * b.states + r2, last, w + v)
+            for c in range(SYMBOLS):
+                s2, mid = a.step(s, c)
+                r2, last = b.step(r, mid)
+                out.arcs[s * b.states + r, c] = (s2 * b.states + r2, last)
     return out
 
 
-def grammar() -> Transducer:
-    """Insults and threats, stronger after a target, weaker after a negation or in reported speech."""
-    g = base(1.0, 0.6)
-    for t in (after(TARGET, 4, 0.25), after(NEGATION, 3, -0.7), after(REPORT, 0, -0.4)):
-        g = compose(g, t)
-    return g
+@dataclass(frozen=True)
+class Grammar:
+    """The machine that reads a clause left to right, and the one that reads the result right to left."""
 
+    forward: Transducer
+    backward: Transducer
 
-def clause_score(g: Transducer, classes: list[int]) -> float:
-    """Weight of one clause; never below zero."""
-    state, total = 0, 0.0
-    for c in classes:
-        state, _, w = g.step(state, c)
-        total += w
-    return max(0.0, total)
+    def rewrite(self, classes: list[int]) -> list[int]:
+        return self.backward.run(self.forward.run(classes)[::-1])[::-1]
+
+
+def grammar() -> Grammar:
+    """Insult and threat phrases; weakened up to 3 words after a negation or anywhere after reported speech; insults aimed
+    by a target up to 4 words before or 3 after, threats by one up to 3 words after."""
+    forward = phrase(INSULT)
+    for t in (phrase(THREAT), near(NEGATION, 3, WEAK), near(REPORT, 0, WEAK), near(TARGET, 4, AIMED, (INSULT, LEARNED))):
+        forward = compose(forward, t)
+    return Grammar(forward, near(TARGET, 3, AIMED))
 
 
 # --------------------------------------------------------------------------- words to classes
@@ -135,23 +165,23 @@ def seeds() -> dict[str, int]:
     return {s: c for c, text in SEED.items() for s in text.split()}
 
 
-def matched_clauses(texts: pa.Array, lexicon: Lexicon, g: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the sum of its clause scores, its matched clauses, its words."""
-    n = len(texts)
+def matched_clauses(texts: pa.Array, lexicon: Lexicon, g: Grammar) -> np.ndarray:
+    """Of each text, how many of its clauses hold each of ``VARIANTS``; a clause ends with a word that ends in one of ``.!?;:``."""
     doc, code, words = split_words(texts)
-    kind = lexicon.classes(_normal(words).to_pylist())[code] if len(words) else np.zeros(0, np.int8)
-    ends = pc.match_substring_regex(words, r"[.!?;:,]$").to_numpy(zero_copy_only=False)[code] if len(words) else np.zeros(0, bool)
+    out = np.zeros((len(texts), len(VARIANTS)), np.int64)
+    if not len(words):
+        return out
+    normal = _normal(words)
+    kind = lexicon.classes(normal.to_pylist())[code]
+    ends = pc.match_substring_regex(words, r"[.!?;:]$").to_numpy(zero_copy_only=False)[code]
     clause = np.zeros(len(code), np.int64)
     clause[1:] = np.cumsum(ends[:-1] | (doc[1:] != doc[:-1]))
-    hot = np.flatnonzero((kind == INSULT) | (kind == THREAT))
-    total, found = np.zeros(n), np.zeros(n, np.int64)
-    for c in np.unique(clause[hot]).tolist():
-        lo, hi = np.searchsorted(clause, [c, c + 1])
-        score = clause_score(g, [*kind[lo:hi].tolist(), END])
-        if score > 0:
-            total[doc[lo]] += score
-            found[doc[lo]] += 1
-    return total, found, np.bincount(doc, minlength=n)
+    column = {v: k for k, v in enumerate(VARIANTS)}
+    hot = np.unique(clause[np.isin(kind, HOT)])
+    for lo, hi in zip(np.searchsorted(clause, hot).tolist(), np.searchsorted(clause, hot + 1).tolist()):
+        for v in {column[c] for c in g.rewrite(kind[lo:hi].tolist()) if c in column}:
+            out[doc[lo], v] += 1
+    return out
 
 
 # --------------------------------------------------------------------------- learning
@@ -195,52 +225,63 @@ def _wilson(k: Column, n: Column, z: float = 2.6) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def induce(sample: DataFrame, most: int = 5000) -> Lexicon:
-    """Seed stems, and stems that the labelled texts (text, toxic) show in toxic documents nearly alone.
+def induce(sample: DataFrame) -> Lexicon:
+    """Seed stems, and stems that the labelled texts (text, toxic) show in toxic documents nearly alone, as the class LEARNED.
 
     Evidence is counted in distinct words per document, since a stem of one document may come with many endings. A
     stem qualifies if it is in two toxic documents and the lower bound of its toxic share is above one half; of
-    nested stems the shortest is kept. At most ``most`` stems (those in most toxic documents) reach the driver.
+    nested stems the shortest is kept. The sample is bounded, so the stems that reach the driver are.
     """
     counted = sample.select("text", "toxic").mapInArrow(_count_terms, "term string, docs long, toxic long, n long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    good = counted.filter("docs >= 2").filter(_wilson(F.col("toxic"), F.col("n")) > 0.5).orderBy(F.desc("docs"), F.desc("toxic"), "term").limit(most).collect()
+    good = counted.filter("docs >= 2").filter(_wilson(F.col("toxic"), F.col("n")) > 0.5).select("term").collect()
     table = seeds()
-    for r in sorted(good, key=lambda r: (len(r["term"].rstrip("$")), r["term"])):
-        t = r["term"]
+    for t in sorted((r["term"] for r in good), key=lambda t: (len(t.rstrip("$")), t)):
         if t not in table and not any(t[:k] in table for k in range(3, len(t))):
-            table[t] = INSULT
+            table[t] = LEARNED
     return Lexicon(tuple(sorted(table.items())))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of a logistic curve over a document's feature, by damped Newton steps with a weak prior."""
-    a, b = 6.0, -4.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        ga, gb = ((p - y) * x).sum() + 0.01 * (a - 6), (p - y).sum() + 0.01 * (b + 4)
-        haa, hab, hbb = (w * x * x).sum() + 0.01, (w * x).sum(), w.sum() + 0.01
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-9))
-        a, b = a - step * da, b - step * db
-        if abs(da) + abs(db) < 1e-8:
+#: Weights of ``VARIANTS`` and the bias where labels say nothing: bare words don't make a document toxic, aimed clauses do.
+PRIOR = np.array([1.2, 4.0, 0.2, 0.8, 0.3, 4.0, 0.1, 0.8, 1.2, 4.0, 0.2, 0.8])
+BIAS = -2.2
+
+
+def calibrate(counts: np.ndarray, toxic: np.ndarray, plain: np.ndarray, strength: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model over log(1 + clauses) by damped Newton steps; ``strength`` pulls towards the prior.
+
+    Rows are distinct clause counts with their numbers of toxic and plain documents. A variant never weighs less aimed
+    than bare, nor less bare than weakened.
+    """
+    x = np.column_stack([np.log1p(counts), np.ones(len(counts))])
+    start = np.append(PRIOR, BIAS)
+    w, n = start.copy(), toxic + plain
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (n * p - toxic) + strength * (w - start)
+        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + strength * np.eye(len(w)), gradient)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    of = np.maximum(w[:-1], 0.0).reshape(len(HOT), 4)
+    of[:, 1] = np.maximum(of[:, 0], of[:, 1])
+    of[:, 2:] = np.minimum(of[:, 2:], of[:, :2])
+    return of.ravel(), float(w[-1])
 
 
-def _feature(total: np.ndarray) -> np.ndarray:
-    return 1 - np.exp(-total)
+def scores(counts: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of toxicity from clause counts."""
+    return 1 / (1 + np.exp(-np.clip(np.log1p(counts) @ weights + bias, -30, 30)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, toxic_from: float = TOXIC_FROM) -> DataFrame:
     """Score every whole text: rows (doc_id, held_out, score, predicted, n_clauses).
 
     At most ``max_labels`` labelled rows that may teach (crc32 of the id modulo 4 is not 2; smallest id hashes
-    first) extend the lexicon and set the logistic curve from clause weight to probability. Only the text makes a
-    score. Null and empty texts match nothing and get the curve's lowest score; rows with null ids are scored
-    (held_out false); repeated rows each get a row; extra columns are ignored; without labels the seeds and a fixed
-    curve are used; an empty table gives an empty result.
+    first) extend the lexicon and fit the weights of the clause variants. Only the text makes a score; ``n_clauses``
+    counts matches, a clause once for each variant that it holds. Null and empty texts match nothing and get the
+    lowest score; rows with null ids are scored (held_out false); repeated rows each get a row, repeated labels of one
+    id each teach; extra columns are ignored; without labels the seeds and the prior weights are used; an empty table
+    gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = labels.filter("doc_id is not null and toxic is not null").filter(may_teach(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -251,20 +292,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, t
     def fit(batches):
         for batch in batches:
             for part in chunks(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(matched_clauses(part.column(0), lexicon, g)[0]), part.column(1)], names=["total", "toxic"])
+                found = matched_clauses(part.column(0), lexicon, g)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found.T), part.column(1)], names=[*names, "toxic"])
 
-    # equal weights are one row, so the driver gets a table of distinct weights
-    seen = sample.mapInArrow(fit, "total double, toxic int").groupBy(F.round("total", 2).alias("total")).agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).toPandas()
-    x = np.concatenate([np.repeat(_feature(seen["total"].to_numpy(float)), seen[c].to_numpy(int) if c == "k" else (seen["n"] - seen["k"]).to_numpy(int)) for c in ("k", "n")])
-    y = np.repeat([1.0, 0.0], [int(seen["k"].sum()), int((seen["n"] - seen["k"]).sum())]) if len(seen) else np.zeros(0)
-    a, b = calibrate(x, y)
+    # documents with equal counts are one row, so the driver gets a table of distinct counts of a bounded sample
+    names = [f"v{k}" for k in range(len(VARIANTS))]
+    seen = sample.mapInArrow(fit, ", ".join(f"{k} long" for k in names) + ", toxic int").groupBy(*names).agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).orderBy(*names).toPandas()
+    weights, bias = calibrate(seen[names].to_numpy(float).reshape(-1, len(names)), seen["k"].to_numpy(float), (seen["n"] - seen["k"]).to_numpy(float))
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, 1):
-                total, found, _ = matched_clauses(part.column(1), lexicon, g)
-                score = 1 / (1 + np.exp(-np.clip(a * _feature(total) + b, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(found)], names=["doc_id", "score", "n_clauses"])
+                found = matched_clauses(part.column(1), lexicon, g)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(found, weights, bias)), pa.array(found.sum(axis=1))], names=["doc_id", "score", "n_clauses"])
 
     out = texts.mapInArrow(run, "doc_id long, score double, n_clauses long")
     return out.select("doc_id", F.coalesce(~may_teach(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxic_from).cast("int").alias("predicted"), "n_clauses")
@@ -277,4 +317,4 @@ def average_precision(score: np.ndarray, label: np.ndarray) -> float:
     return float((np.cumsum(hit) / np.arange(1, len(hit) + 1))[hit].mean()) if hit.any() else math.nan
 
 
-__all__ = ["Lexicon", "Transducer", "average_precision", "calibrate", "clause_score", "compose", "grammar", "induce", "matched_clauses", "may_teach", "seeds", "toxicity"]
+__all__ = ["Grammar", "Lexicon", "Transducer", "average_precision", "calibrate", "compose", "grammar", "induce", "marked", "matched_clauses", "may_teach", "near", "phrase", "scores", "seeds", "toxicity", "unmarked"]
