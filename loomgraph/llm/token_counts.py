@@ -30,13 +30,18 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def write_flat_tokens(docs: DataFrame, path: str, ranks_file: str, pattern: str, eod: int, doc_id: str = "doc_id", text: str = "text") -> None:
+#: Token bytes after which a task goes on to its next file, so that none comes near Spark's 2 GB for a binary value.
+PIECE_BYTES = 256 << 20
+
+
+def write_flat_tokens(docs: DataFrame, path: str, ranks_file: str, pattern: str, eod: int, doc_id: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES) -> None:
     """Tokenise every whole text with a byte-level BPE rank file into flat 16-bit token files under ``path``/kind=tokens.
 
     Files are written by Spark's own text sink, whose line separator is the end-of-document id, so any store that
-    Spark can write to will do. Beside each file, ``kind=ids`` holds one of the same part number with the document
-    ids in the same order. Null and empty texts are documents without tokens. The rank file (a fixed vocabulary)
-    travels with the function. ``eod`` must be free: above every rank and below 65536.
+    Spark can write to will do. A task starts another file, in the folder piece=1, 2, ..., after ``piece_bytes`` of
+    tokens. Beside each file, ``kind=ids`` holds one of the same name and piece with the document ids in the same
+    order. Null and empty texts are documents without tokens. The rank file (a fixed vocabulary) travels with the
+    function. ``eod`` must be free: above every rank and below 65536.
     """
     with open(ranks_file, "rb") as f:
         ranks = f.read()
@@ -44,32 +49,38 @@ def write_flat_tokens(docs: DataFrame, path: str, ranks_file: str, pattern: str,
         raise ValueError("the end-of-document id must be no token and fit 16 bits")
 
     def run(batches):
-        ids: list[bytes] = []
+        written, piece = 0, 0
         enc = _encoding(ranks, pattern)
         for batch in batches:
             for part in chunks(batch, 1):
-                ids += [b"" if i is None else b"%d" % i for i in part.column(0).to_pylist()]
-                tokens = [np.array(enc.encode_ordinary(t), "<u2").tobytes() if t else b"" for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(["tokens"] * len(tokens))], names=["row", "kind"])
-        for k in range(0, len(ids), 10_000):
-            some = ids[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(["ids"] * len(some))], names=["row", "kind"])
+                ids = [b"" if i is None else b"%d" % i for i in part.column(0).to_pylist()]
+                tokens, pieces = [], []
+                for t in part.column(1).to_pylist():
+                    tokens.append(np.array(enc.encode_ordinary(t), "<u2").tobytes() if t else b"")
+                    pieces.append(piece)
+                    written += len(tokens[-1]) + 2
+                    if written >= piece_bytes:
+                        written, piece = 0, piece + 1
+                for kind, rows in (("tokens", tokens), ("ids", ids)):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([kind] * len(rows)), pa.array(pieces, pa.int32())], names=["row", "kind", "piece"])
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "row binary, kind string")
+    rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "row binary, kind string, piece int")
     end = eod.to_bytes(2, "little").decode("latin-1")
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "4")  # both kinds are written as they come, without a sort
+    spark.conf.set(key, "100000")  # all files of a task are written as rows come, without a sort that could change their order
     try:
-        rows.select(F.col("row").cast("string").alias("value"), "kind").write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
+        sink = rows.select(F.col("row").cast("string").alias("value"), "kind", "piece").write.partitionBy("kind", "piece").option("encoding", "ISO-8859-1").option("lineSep", end)
+        sink.option("maxRecordsPerFile", 0).text(path)  # files of both kinds must end at the same documents
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
+    """The flat files below ``path`` by their place there, without kind."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.regexp_extract("path", r"((?:piece=\d+/)?[^/]+)$", 1).alias("file"), "content")
 
 
 def _scan(eod: int, dtype: str):
@@ -94,8 +105,8 @@ def count_flat_tokens(spark: SparkSession, path: str, eod: int, dtype: str = "<u
     The end-of-document id itself isn't counted; tokens after a file's last one are an unfinished document and
     come as its last row; an empty file has no document. A block's summary is its number of tokens, of ends, and
     what follows the last end; one running sum over a file's summaries gives each block the number of documents
-    before it and the tokens carried into it. Files are read whole by a task (Spark's limit for one is 2 GB), as
-    blocks by the scan.
+    before it and the tokens carried into it. A file is one binary value of at most 2 GB, Spark's limit; larger flat
+    files must be cut between documents first, as :func:`write_flat_tokens` does.
     """
     width = np.dtype(dtype).itemsize
     block_bytes -= block_bytes % width
@@ -146,9 +157,8 @@ def token_counts(docs: DataFrame, ranks_file: str, pattern: str, eod: int) -> Da
     counts = count_flat_tokens(spark, f"{path}/kind=tokens", eod) if _any(spark, f"{path}/kind=tokens") else None
     if counts is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_tokens")).limit(0)
-    part = F.regexp_extract("file", r"^part-(\d+)-", 1).cast("long")
-    ids = read_ids(spark, f"{path}/kind=ids", eod).withColumn("file", part)
-    return ids.join(counts.withColumn("file", part), ["file", "nth"]).select("doc_id", "n_tokens")
+    # a task's file has the same name for both kinds
+    return read_ids(spark, f"{path}/kind=ids", eod).join(counts, ["file", "nth"]).select("doc_id", "n_tokens")
 
 
 def _any(spark: SparkSession, path: str) -> bool:
