@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words move the score.
 
 Everything is a Spark column expression. A span's place comes from splitting the text at the matches: the n-th
-match starts after the n first pieces and the matches between them, all counted in code points.
+match starts after the n first pieces and the matches between them, all counted in code points by one running fold.
 """
 
 from __future__ import annotations
@@ -38,24 +38,64 @@ LEAST = 0.5
 #: What a context word adds, and how many characters before the span are looked at.
 BONUS, WINDOW = 0.3, 40
 
-_SPAN = "struct<start:int,end:int,text:string>"
+#: Items of an array that one inner fold takes: appending to an array copies it, so folds work on short ones.
+RUN = 64
+#: Code points of the blocks from which pieces of a text are cut.
+BLOCK = 1024
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable, where an expression would be computed for each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(items: Column, state: dict[str, Column], step, emit, out: str) -> Column:
+    """What ``emit`` makes of each item and the state before it, as an array<``out``>; ``step`` gives the next state.
+
+    A running fold in near-linear time: folds copy what they carry, so a first pass over runs of ``RUN`` items carries
+    the state alone and notes it at each run's start, and a second one carries no more than one run's results.
+    """
+    pack = lambda fields: F.struct(*[c.alias(k) for k, c in fields.items()])
+    of = lambda acc: {k: acc[k] for k in state}
+    after = lambda acc, x: pack(step(of(acc), x))
+
+    def note(acc: Column, run: Column) -> Column:
+        return let(F.aggregate(run, acc["now"], after), lambda now: pack({"now": now, "starts": F.concat(acc["starts"], F.array(acc["now"]))}))
+
+    def one(z: Column) -> Column:
+        grow = lambda acc, x: pack({"now": after(acc["now"], x), "got": F.concat(acc["got"], F.array(emit(of(acc["now"]), x)))})
+        return F.aggregate(z["run"], pack({"now": z["start"], "got": F.array().cast(f"array<{out}>")}), grow, lambda acc: acc["got"])
+
+    def fold(runs: Column) -> Column:
+        first = F.slice(F.array(pack(state)), 1, 0)
+        starts = F.aggregate(runs, pack({"now": pack(state), "starts": first}), note, lambda acc: acc["starts"])
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), starts.alias("start")), one))
+
+    def cut(all_: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, RUN))
+        return F.when(F.size(all_) > 0, let(runs, fold)).otherwise(F.array().cast(f"array<{out}>"))
+
+    return let(items, cut)
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """All matches as an array of (start, end, text), offsets in code points, end exclusive."""
-    rx = F.lit(pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
+    """All matches as an array of (start, end, text, before), offsets in code points, end exclusive; ``before`` is the text just before the match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("p"), found.alias("m"))
+
+    def step(s: dict[str, Column], x: Column) -> dict[str, Column]:
+        return {"at": s["at"] + F.char_length(x["p"]) + F.char_length(x["m"]), "tail": _right(F.concat(s["tail"], _right(x["p"]), _right(x["m"])))}
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def emit(s: dict[str, Column], x: Column) -> Column:
+        start = s["at"] + F.char_length(x["p"])
+        return F.struct(start.alias("start"), (start + F.char_length(x["m"])).alias("end"), x["m"].alias("text"), _right(F.concat(s["tail"], _right(x["p"]))).alias("before"))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    return scan(pairs, {"at": F.lit(0), "tail": F.lit("")}, step, emit, "struct<start:int,end:int,text:string,before:string>")
+
+
+def _right(s: Column) -> Column:
+    """The last ``WINDOW`` code points."""
+    return F.right(s, F.lit(WINDOW))
 
 
 def _digits(s: Column) -> Column:
@@ -100,9 +140,7 @@ def _spans(text: Column, k: Kind) -> Column:
     near = "(?<![a-z])(?:" + "|".join(k.context) + ")(?![a-z])"
 
     def scored(x: Column) -> Column:
-        first = F.greatest(x["start"] - WINDOW, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, x["start"] - first))
-        score = F.least(F.lit(1.0), F.lit(k.base) + F.when(before.rlike(near), BONUS).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.lit(k.base) + F.when(F.lower(x["before"]).rlike(near), BONUS).otherwise(0.0))
         return F.struct(F.lit(k.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), score.alias("score"))
 
     spans = F.transform(F.filter(_placed(text, k.pattern), lambda x: confirmed(k.name, x["text"])), scored)
@@ -130,14 +168,28 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.col(text)
     order = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"], (-x["end"]).alias("n"), x["kind"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # (from, to, kind): a span that starts no union of its own only widens the one before
+    reach = scan(
+        order, {"at": F.lit(0)}, lambda s, x: {"at": F.greatest(s["at"], -x["n"])},
+        lambda s, x: F.struct(s["at"].alias("from"), x["start"].alias("to"), x["kind"].alias("kind")), "struct<from:int,to:int,kind:string>",
+    )
+    heads = F.filter(reach, lambda x: (x["to"] >= x["from"]))
+    end = F.array_max(F.transform("pii", lambda x: x["end"]))
+
+    def rebuilt(blocks: Column) -> Column:
+        pieces = F.transform(heads, lambda x: F.concat(_cut(blocks, x["from"], x["to"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), _cut(blocks, end, F.char_length(body)))
+
+    done = let(F.regexp_extract_all(body, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)), rebuilt)
+    return docs.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(body))
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = F.concat(acc["out"], F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["start"] >= acc["at"], F.struct((-x["n"]).alias("at"), keep.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], -x["n"]).alias("at"), acc["out"].alias("out")))
 
-    done = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
-    return docs.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(body))
+def _cut(blocks: Column, a: Column, b: Column) -> Column:
+    """Code points ``a`` to ``b`` (exclusive) of the text whose blocks of ``BLOCK`` code points these are."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    one = F.substring(F.get(blocks, first), a % BLOCK + 1, b - a)
+    more = F.concat(F.substring(F.get(blocks, first), a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(blocks, last), F.lit(1), (b - 1) % BLOCK + 1))
+    return F.when(b <= a, "").when(first == last, one).otherwise(more)
 
 
 def digest(found: DataFrame) -> DataFrame:
