@@ -1,6 +1,6 @@
-"""Mixing sources to target weights: words are packed into fixed-length blocks, every output shard draws how many
-blocks each source gives it, slots are mapped through pseudorandom permutations of a source's block numbers, and
-blocks are joined by number."""
+"""Mixing sources to target weights: words are packed into fixed-length blocks, every output shard draws multinomial
+source counts, slots are mapped through pseudorandom permutations of a source's block numbers, and blocks are joined by
+number."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
+#: Sources whose totals the driver may hold, a row each; a column with more different values is no source.
+MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> list[float]:
@@ -56,36 +58,44 @@ class Quota:
     last_cut: int  #: words that the last slot leaves out, so that the words taken are the rounded target
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed pseudorandom permutation of 0..n-1 (Feistel rounds over the next even power of two, walking out-of-range values on)."""
+def _walk(value: np.ndarray, n: int, key: int, rounds: range, back: bool) -> np.ndarray:
+    """Feistel rounds over the next even power of two, repeated for values that leave 0..n-1."""
     half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
     mask = np.uint64((1 << half) - 1)
-    out = index.astype(np.uint64)
+    out = value.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         x = out[todo]
         a, b = x >> np.uint64(half), x & mask
-        for r in range(4):
+        for r in rounds:
             k = np.uint64((key * 4 + r) * 0x9E3779B97F4A7C15 % (1 << 64))
-            a, b = b, a ^ (mix64(b ^ k) & mask)
+            a, b = (b ^ (mix64(a ^ k) & mask), a) if back else (b, a ^ (mix64(b ^ k) & mask))
         out[todo] = (a << np.uint64(half)) | b
         todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
 
 
+def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A keyed pseudorandom permutation of 0..n-1."""
+    return _walk(index, n, key, range(4), False)
+
+
+def place_of(value: int, n: int, key: int) -> int:
+    """The index that :func:`permuted` maps to ``value``."""
+    return int(_walk(np.array([value]), n, key, range(3, -1, -1), True)[0])
+
+
 def _key(seed: int, number: int, epoch: int) -> int:
     return (seed * 1_000_003 + number) * 31 + epoch
 
 
 def quota(source: str | None, number: int, words: int, target: float, block: int, seed: int) -> Quota:
     blocks = -(-words // block)
-    goal = round(target)
-    epochs, rest = divmod(goal, words) if words else (0, 0)
+    epochs, rest = divmod(round(target), words) if words else (0, 0)
     short = blocks * block - words  # words missing from the last block
     slots = cut = 0
     if rest:
-        # the place of the short block in the order of the last, partial epoch
-        place = next((lo + int(hit[0]) for lo in range(0, blocks, 1 << 20) if len(hit := np.flatnonzero(permuted(np.arange(lo, min(blocks, lo + (1 << 20))), blocks, _key(seed, number, epochs)) == blocks - 1))), 0)
+        place = place_of(blocks - 1, blocks, _key(seed, number, epochs))  # of the short block in the last, partial epoch
         slots = -(-rest // block)
         if place < slots and slots * block - short < rest:
             slots += 1
@@ -93,61 +103,73 @@ def quota(source: str | None, number: int, words: int, target: float, block: int
     return Quota(source, number, words, target, blocks, epochs, slots, cut)
 
 
-def plan(totals: list[tuple[str | None, int]], block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> tuple[list[Quota], list[tuple[int, int, int, int]]]:
-    """Quotas by source, and rows (output shard, source number, first slot of the source, slots).
-
-    The counts of a shard are a multinomial draw under the condition that all shards together use up each
-    source's quota (a draw without replacement from the slots that remain), so every source meets its target
-    exactly and each shard has the mix in expectation.
-    """
+def quotas_of(totals: list[tuple[str | None, int]], block: int = BLOCK_WORDS, seed: int = 0) -> list[Quota]:
+    """What the mix takes of each source, given the words that it has."""
     share = targets([n for _, n in totals])
-    quotas = [quota(s, i, n, share[i], block, seed) for i, (s, n) in enumerate(totals)]
-    left = np.array([q.epochs * q.blocks + q.slots for q in quotas], np.int64)
-    given = np.zeros(len(quotas), np.int64)
-    rng = np.random.default_rng(seed)
-    rows, shard = [], 0
-    while (remain := int(left.sum())) > 0:
-        draw = _draw(rng, left, min(shard_slots, remain))
-        rows += [(shard, i, int(given[i]), int(n)) for i, n in enumerate(draw) if n]
-        left, given, shard = left - draw, given + draw, shard + 1
-    return quotas, rows
-
-
-def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """Conditional multinomial counts, source after source."""
-    out = np.zeros(len(left), np.int64)
-    rest = int(left.sum())
-    for i, own in enumerate(left.tolist()):
-        rest -= own
-        if n <= 0:
-            break
-        if rest == 0:
-            out[i] = n
-        elif own and own + rest < 10**9:
-            out[i] = rng.hypergeometric(own, rest, n)
-        elif own:  # numpy's limit; at this size the draw is as good as binomial
-            out[i] = min(own, max(n - rest, rng.binomial(n, own / (own + rest))))
-        n -= int(out[i])
-    return out
+    return [quota(s, i, n, share[i], block, seed) for i, (s, n) in enumerate(totals)]
+
+
+def drawn(shard: int, slots: int, quotas: np.ndarray, seed: int) -> np.ndarray:
+    """The multinomial source counts of one output shard: ``slots`` draws with chances in proportion to the quotas."""
+    return np.random.default_rng([seed, shard]).multinomial(slots, quotas / quotas.sum())
+
 
+def _slots(spark, quotas: list[Quota], block: int, shard_slots: int, seed: int) -> DataFrame:
+    """One row per slot of the mix: output shard, source number, epoch, block number, words taken from the block's start.
 
-def _slots(rows: DataFrame, quotas: list[Quota], block: int, seed: int) -> DataFrame:
-    """One row per slot of the mix: output shard, source number, epoch, block number, words taken from the block's start."""
-    facts = {q.number: (q.words, q.blocks, q.epochs, q.slots, q.last_cut) for q in quotas}
+    Every shard draws its counts for itself. A source's slots are numbered through all shards; those beyond its quota
+    go, in their order, to the sources that were drawn short of theirs, so that every quota is met whatever the draw.
+    """
+    total = np.array([q.epochs * q.blocks + q.slots for q in quotas], np.int64)
+    n = int(total.sum())
+    shards = -(-n // shard_slots) if n else 0
+
+    def draw(frames):
+        for pdf in frames:
+            for lo in range(0, len(pdf), 256):
+                ids = pdf["id"].to_numpy()[lo : lo + 256]
+                got = np.array([drawn(int(i), min(shard_slots, n - int(i) * shard_slots), total, seed) for i in ids]).reshape(len(ids), -1)
+                row, number = np.nonzero(got)
+                yield pd.DataFrame({"out_shard": ids[row], "number": number, "n": got[row, number]})
+
+    rows = spark.range(shards).mapInPandas(draw, "out_shard int, number int, n long")
+    rows = prefix_sums(rows, ["out_shard"], "n", ["number"]).withColumnRenamed("before", "first").drop("row")
+    enough = spark.createDataFrame([(i, int(t)) for i, t in enumerate(total)], "number int, total long")
+    over = F.greatest(F.lit(0), F.col("first") + F.col("n") - F.greatest("first", "total"))
+    rows = stored(rows.join(enough, "number").select("out_shard", "number", "n", "first", over.cast("long").alias("over")), "draws")
+    got = np.zeros(len(total), np.int64)
+    for r in rows.groupBy("number").agg(F.sum("n").alias("n")).collect():  # a row per source
+        got[r["number"]] = r["n"]
+    short = np.maximum(total - got, 0)
+    upto = np.cumsum(short)
+    beyond = prefix_sums(rows.filter("over > 0"), ["number", "out_shard"], "over").select("out_shard", "number", F.col("before").alias("turn"))
+    rows = rows.join(beyond, ["out_shard", "number"], "left")
+
+    quota_of = {k: np.array([getattr(q, k) for q in quotas], np.int64) for k in ("words", "blocks", "epochs", "slots", "last_cut")}
+
+    def placed(shard: np.ndarray, own: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+        """Slots ``k`` of sources ``own``: each to its block."""
+        f = {name: x[own] for name, x in quota_of.items()}
+        epoch, at = k // f["blocks"], k % f["blocks"]
+        for key in np.unique(own * (1 << 8) + epoch):  # at most a few epochs a source
+            one = np.flatnonzero((own == key >> 8) & (epoch == key & 255))
+            at[one] = permuted(at[one], quotas[key >> 8].blocks, _key(seed, int(key >> 8), int(key & 255)))
+        take = np.minimum(block, f["words"] - at * block) - np.where(k == f["epochs"] * f["blocks"] + f["slots"] - 1, f["last_cut"], 0)
+        return pd.DataFrame({"out_shard": shard, "number": own, "epoch": epoch, "block": at, "take": take})
 
     def make(frames):
         for pdf in frames:
-            for shard, number, first, n in pdf.itertuples(index=False):
-                words, blocks, epochs, slots, cut = facts[number]
-                for lo in range(first, first + n, 1 << 16):
-                    k = np.arange(lo, min(lo + (1 << 16), first + n))
-                    epoch, place = k // blocks, k % blocks
-                    at = np.empty(len(k), np.int64)
-                    for e in np.unique(epoch):
-                        at[epoch == e] = permuted(place[epoch == e], blocks, _key(seed, number, int(e)))
-                    take = np.minimum(block, words - at * block)
-                    take[k == epochs * blocks + slots - 1] -= cut
-                    yield pd.DataFrame({"out_shard": shard, "number": number, "epoch": epoch, "block": at, "take": take})
+            r = pdf[["out_shard", "number", "n", "first", "over", "turn"]].fillna(0).astype(np.int64)
+            for _, part in r.groupby((r["n"].cumsum() - r["n"]) // (1 << 18)):  # a draw is at most one shard's slots
+                shard, own, many, first, over, turn = (part[c].to_numpy() for c in part.columns)
+                row = np.repeat(np.arange(len(part)), many)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                k, to = first[row] + nth, own[row].copy()
+                late = np.flatnonzero(nth >= (many - over)[row])  # beyond the quota of the source drawn: to one that fell short
+                place = turn[row[late]] + nth[late] - (many - over)[row[late]]
+                to[late] = np.searchsorted(upto, place, side="right")
+                k[late] = got[to[late]] + place - (upto - short)[to[late]]
+                yield placed(shard[row], to, k)
 
     return rows.mapInPandas(make, "out_shard int, number int, epoch int, block long, take long")
 
@@ -159,8 +181,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", block: int
     words. Returns two tables. ``rows``: a row per document with ``rid``, ``doc_id``, ``source``, ``size``,
     ``source_size``, ``target``. ``parts``: which words the mix takes, as ``rid``, ``out_shard``, ``epoch``,
     ``block``, ``first``, ``last`` (word numbers in the document, last exclusive). Blocks of a hot source are
-    dealt by (source, block), so no source lands in one task. Only per-source totals and per-shard counts are on
-    the driver: (number of sources) x (output shards) integers, and one permutation scan a source.
+    dealt by (source, block), so no source lands in one task. The driver holds a row per source (``MAX_SOURCES`` at
+    most, else an error); shards draw their counts and map their slots on the executors.
 
     Null sources form one source, the last; null and empty texts have size 0 and are never taken; repeated rows
     each hold their own words; the draw depends on ``seed`` and the rows alone, so reruns agree. An empty table
@@ -169,13 +191,14 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", block: int
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_tie"))
     rows = stored(prefix_sums(rows, ["doc_id", "_tie", "size"], "size", ["source"]).withColumn("rid", F.monotonically_increasing_id()), "streams")
-    found = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
+    found = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()]
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    quotas, shards = plan(found, block, shard_slots, seed)
+    quotas = quotas_of(found, block, seed)
     facts = spark.createDataFrame([(q.number, q.source, q.words, q.target) for q in quotas], "number int, source string, source_size long, target double").withColumnRenamed("source", "_source")
-    rows = rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["_source"])).drop("_source", "row")
-    layout = spark.createDataFrame(shards, "out_shard int, number int, first long, n long")
-    slots = _slots(layout.repartition(spark.sparkContext.defaultParallelism), quotas, block, seed)
+    rows = rows.join(facts, rows["source"].eqNullSafe(facts["_source"])).drop("_source", "row")
+    slots = _slots(spark, quotas, block, shard_slots, seed)
     end = F.col("before") + F.col("size")
     pieces = (
         rows.filter("size > 0").select("rid", "number", "before", "size", F.explode(F.sequence(F.floor(F.col("before") / block).cast("long"), F.floor((end - 1) / block).cast("long"))).alias("block"))
