@@ -65,7 +65,7 @@ class LabelModel:
 
 
 def expectation_maximisation(votes: np.ndarray, weight: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
-    """Fit the label model to distinct vote patterns with their counts, starting from the majority vote."""
+    """Fit the label model to distinct vote patterns with their counts; at the start a pattern is the less likely good the more labellers call it low."""
     n, m = votes.shape
     low = (votes == -1).sum(axis=1)
     p = np.where(low > 0, 0.5 / (1.0 + low), 0.95) if n else np.zeros(0)
@@ -125,6 +125,27 @@ def pc_len(lists: pa.Array) -> np.ndarray:
     return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """What :func:`classify` says of ``docs`` before scoring: a row of counts and features per document, and the scorer's weights."""
+    rid = docs.select(F.col(key).cast("long").alias("rid"), F.col(text).cast("string").alias("text"))
+    schema = "rid long, " + ", ".join(f"{k} long" for k in COUNTS) + ", f array<smallint>, v array<float>"
+    seen = stored(rid.mapInArrow(_digest_texts, schema), "shapes")
+    votes = labellers()
+    names = list(votes)
+    voted = seen.filter("n_words > 0").select("rid", "f", "v", *[votes[k].cast("int").alias(k) for k in names])
+    patterns = voted.groupBy(*names).count().toPandas()
+    model = expectation_maximisation(patterns[names].to_numpy(np.int64).reshape(-1, len(names)), patterns["count"].to_numpy(float))
+    sample: pd.DataFrame = smallest_hashes(voted.filter("rid is not null"), "rid", max_train).toPandas()
+    target = model.posterior(sample[names].to_numpy(np.int64).reshape(-1, len(names))) if len(sample) else np.zeros(0)
+    return seen, fit_linear([(np.asarray(f), np.asarray(v)) for f, v in zip(sample["f"], sample["v"])], target)
+
+
+def _scores(weights: np.ndarray, doc: np.ndarray, f: np.ndarray, v: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Probability of good quality of each document from its features; 0 without words."""
+    z = np.bincount(doc, weights=weights[f] * v, minlength=len(words)) + weights[-1]
+    return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+
+
 def classify(docs: DataFrame, max_train: int = MAX_TRAIN, reject_below: float = REJECT_BELOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Score the quality of every document: rows (key, score, kept, n_words).
 
@@ -136,25 +157,33 @@ def classify(docs: DataFrame, max_train: int = MAX_TRAIN, reject_below: float =
     Null and empty texts have no words and score 0 (rejected); null keys, repeated rows and extra columns are
     allowed, each row gets a result; an empty table gives an empty result.
     """
-    rid = docs.select(F.col(key).cast("long").alias("rid"), F.col(text).cast("string").alias("text"))
-    schema = "rid long, " + ", ".join(f"{k} long" for k in COUNTS) + ", f array<smallint>, v array<float>"
-    seen = stored(rid.mapInArrow(_digest_texts, schema), "shapes")
-    votes = labellers()
-    names = list(votes)
-    voted = seen.filter("n_words > 0").select("rid", "f", "v", *[votes[k].cast("int").alias(k) for k in names])
-    patterns = voted.groupBy(*names).count().toPandas()
-    model = expectation_maximisation(patterns[names].to_numpy(np.int64).reshape(-1, len(names)), patterns["count"].to_numpy(float))
-    sample: pd.DataFrame = smallest_hashes(voted.filter("rid is not null"), "rid", max_train).toPandas()
-    target = model.posterior(sample[names].to_numpy(np.int64).reshape(-1, len(names))) if len(sample) else np.zeros(0)
-    weights = fit_linear([(np.asarray(f), np.asarray(v)) for f, v in zip(sample["f"], sample["v"])], target)
+    seen, weights = fit(docs, max_train, key, text)
 
     def run(batches):
         for batch in batches:
-            f, v = batch.column(2), batch.column(3)
-            doc = np.repeat(np.arange(batch.num_rows), pc_len(f))
-            z = np.bincount(doc, weights=weights[f.flatten().to_numpy()] * v.flatten().to_numpy(), minlength=batch.num_rows) + weights[-1]
-            words = batch.column(1).to_numpy()
-            p = np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            f, words = batch.column(2), batch.column(1).to_numpy()
+            p = _scores(weights, np.repeat(np.arange(batch.num_rows), pc_len(f)), f.flatten().to_numpy(), batch.column(3).flatten().to_numpy(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= reject_below), batch.column(1)], names=["rid", "score", "kept", "n_words"])
 
     return seen.select("rid", "n_words", "f", "v").mapInArrow(run, "rid long, score double, kept boolean, n_words long").withColumnRenamed("rid", key)
+
+
+def accepted(docs: DataFrame, max_train: int = MAX_TRAIN, reject_below: float = REJECT_BELOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps, all columns untouched.
+
+    Texts are read a second time, each row judged where it lies, so nothing is matched by key and no text is shuffled.
+    """
+    from pyspark.sql import types as T
+
+    weights = fit(docs, max_train, key, text)[1]
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, at):
+                c = counts(part.column(at))
+                doc, bucket, share = shape_features(c, part.num_rows)
+                yield part.filter(pa.array(_scores(weights, doc, bucket, share.astype(np.float32), c["n_words"]) >= reject_below))
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
+    return docs.mapInArrow(run, schema)

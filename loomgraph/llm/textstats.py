@@ -92,8 +92,8 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
 def shapes(words: pa.Array) -> tuple[np.ndarray, list[str]]:
     """The shape of each word: runs of capitals, of other letters and of digits become X, x and 9, runs of one other character that character."""
     s = words.cast(pa.large_string())
-    for pattern, by in ((r"\p{Lu}+", "X"), (r"\p{L}+", "x"), (r"[X][x]", "Xx"), (r"\p{N}+", "9")):
-        s = pc.replace_substring_regex(s, pattern, by) if by != "x" else pc.replace_substring_regex(s, r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "x")
+    for pattern, by in ((r"\p{Lu}+", "X"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "x"), (r"\p{N}+", "9")):
+        s = pc.replace_substring_regex(s, pattern, by)
     s = pc.replace_substring_regex(s, r"([#*$%&|<>.,;:!?_=/+-])[#*$%&|<>.,;:!?_=/+-]+", r"\1")
     s = pc.utf8_slice_codeunits(s, 0, 12).dictionary_encode()
     return s.indices.to_numpy().astype(np.int64), s.dictionary.to_pylist()
