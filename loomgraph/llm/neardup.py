@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, hash_words, mix64, release, split_words, stored
@@ -310,6 +310,28 @@ def near_duplicates(docs: DataFrame, p: Params = FIVE_WORDS, doc_id: str = "doc_
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, p: Params = FIVE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one document of each near-duplicate group, all columns untouched.
+
+    Rows without an id and further texts of one id are documents of their own; rows that repeat both id and text are
+    one document. Texts without words are in no group. An empty table stays empty.
+    """
+    ids = docs.select(F.col(doc_id).alias("id")).groupBy("id").count()
+    most, top, none = ids.agg(F.max("count"), F.max("id"), F.max(F.col("id").isNull())).first()
+    if (most or 0) <= 1 and not none:
+        kept = near_duplicates(docs, p, doc_id, text).filter("kept").select(F.col("doc_id").alias(doc_id))
+        return docs.join(kept, doc_id, "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))  # as one column, whatever their names
+    texts = rows.select("id", "hash").distinct()
+    first = texts.filter("id is not null").groupBy("id").agg(F.min("hash").alias("hash"))
+    # every further text of an id gets a key after all ids
+    further = stored(texts.join(first, ["id", "hash"], "left_anti").withColumn("more", F.lit((top or 0) + 1) + F.monotonically_increasing_id()), "keys")
+    further = further.select(F.col("id").alias("i"), F.col("hash").alias("h"), "more")
+    keyed = stored(rows.join(further, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left").select("row", F.coalesce("more", "id").alias("key")), "keyed")
+    kept = near_duplicates(keyed.select("key", F.col("row")[text].alias("text")), p, "key").filter("kept").select(F.col("doc_id").alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
 def _mixed(known: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components."""
     several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
