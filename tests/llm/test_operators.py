@@ -41,12 +41,35 @@ def words(text):
 # --------------------------------------------------------------------------- 1 toxicity
 
 
-def test_transducers_compose():
-    g = toxicity.grammar()
-    o, i, t, n, r, e = toxicity.OTHER, toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.END
-    s = lambda *c: toxicity.clause_score(g, [*c, e])
-    assert s(i) == 1.0 and s(t, i) == 1.25 and s(n, i) == pytest.approx(0.3) and s(r, o, o, o, o, i) == pytest.approx(0.6)
-    assert s(o, o) == 0 and s(i, i) > s(i) and s(n, o, o, o, i) == 1.0
+def by_definition(clause):
+    """What the grammar should make of a clause, word by word, by looking around instead of running machines."""
+    t = toxicity
+    kept = [t.OTHER if k and c in (t.INSULT, t.THREAT) and clause[k - 1] == c else c for k, c in enumerate(clause)]  # a phrase counts once
+    out = []
+    for k, c in enumerate(kept):
+        if c in t.HOT:
+            aimed = t.TARGET in clause[k + 1 : k + 4] or (c != t.THREAT and t.TARGET in clause[max(0, k - 4) : k])
+            weak = t.NEGATION in clause[max(0, k - 3) : k] or t.REPORT in clause[:k]
+            c = t.marked(c, (t.AIMED if aimed else 0) | (t.WEAK if weak else 0)) if aimed or weak else c
+        out.append(c)
+    return out
+
+
+def test_grammar_equals_its_definition():
+    g, rng = toxicity.grammar(), np.random.default_rng(0)
+    for _ in range(4000):
+        clause = rng.choice(toxicity.END, rng.integers(1, 12), p=[0.3, 0.15, 0.15, 0.1, 0.1, 0.1, 0.1]).tolist()
+        assert g.rewrite(clause) == by_definition(clause)
+    n, i = toxicity.near(toxicity.NEGATION, 3, toxicity.WEAK), toxicity.phrase(toxicity.INSULT)
+    line = [toxicity.INSULT, toxicity.INSULT, toxicity.NEGATION, toxicity.INSULT]
+    assert toxicity.compose(i, n).run(line) == n.run(i.run(line))
+
+
+def test_clauses_without_labels(spark):
+    texts = ["I will kill you.", "I will kill time.", "the movie was trash", "you, sir, are an idiot", "you are not an idiot", 'he said you are an idiot', "a fine day", "idiot! moron! scum! clown!", "kill " * 40_000 + "you"]
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    out = toxicity.toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), none).toPandas().set_index("doc_id")["predicted"]
+    assert [out[k] for k in range(9)] == [1, 0, 0, 1, 0, 0, 0, 1, 0]
 
 
 def test_toxicity_held_out(spark, docs):
@@ -62,7 +85,7 @@ def test_toxicity_held_out(spark, docs):
 
 
 def test_toxicity_odd_rows(spark, odd, none):
-    labels = spark.createDataFrame([(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, labels).count() == 8
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).count() == 8
     one = spark.createDataFrame([(1, "you are an idiot"), (2, "a fine day")], "doc_id long, text string")
@@ -86,6 +109,20 @@ def test_token_counts_match_the_encoder(spark, docs, odd, none, monkeypatch):
         token_counts.token_counts(docs, tokenizer(RANKS), P.PATTERN, 5)
 
 
+def test_token_counts_of_many_files(spark, docs, monkeypatch):
+    """A task that starts new files, and a session that asks for few rows a file, change nothing."""
+    import public_tokenizers as P
+
+    enc = token_counts._encoding(open(tokenizer(RANKS), "rb").read(), P.PATTERN)
+    monkeypatch.setattr(token_counts.write_flat_tokens, "__defaults__", ("doc_id", "text", 5000))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        got = token_counts.token_counts(docs.coalesce(1), tokenizer(RANKS), P.PATTERN, EOD).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert Counter(map(tuple, got)) == Counter((r["doc_id"], len(enc.encode_ordinary(r["text"]))) for r in docs.collect())
+
+
 def test_unfinished_and_empty_flat_files(spark, tmp_path):
     np.array([1, 2, 9, 9, 3, 4, 5], "<u2").tofile(tmp_path / "part-0")
     np.array([], "<u2").tofile(tmp_path / "part-1")
@@ -116,6 +153,17 @@ def test_shards(spark, docs, odd, none, n):
     assert sharding.byte_shards(none, n).count() == 0
 
 
+def test_rows_that_are_all_alike(spark):
+    """Rows that no key can tell apart lie in several ranges."""
+    same = spark.range(4000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    out = sharding.byte_shards(same, 4).toPandas()
+    assert out.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(1000))).all() and len(out) == 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranges = common.prefix_sums(same.withColumn("v", F.lit(1)), ["doc_id", "text"], "v")._stored
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r[1] for r in ranges.groupBy(F.input_file_name()).count().collect()) < 2500
+
+
 def test_shards_are_written(spark, odd, tmp_path):
     small = odd.select("doc_id", "text")
     sharding.write_shards(small, sharding.byte_shards(small, 2), str(tmp_path / "s"))
@@ -150,6 +198,28 @@ def test_pii_base_spans(spark, docs, odd, none):
     assert d["n_email"] == d["n_card"] == 1 and d["base_sha256"] == hashlib.sha256(b"email:4:10,card:11:27").hexdigest()
 
 
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string").transform(pii.find_pii).collect()
+    for join in (" ", " tel +1 (269) 555-3296 é😀 "):
+        text = join.join(f"a{i}@b{i}.cd" for i in range(32_000))
+        found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        began = time.time()
+        d = pii.digest(found).first()
+        assert time.time() - began < 60
+        assert d["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text)).encode()).hexdigest()
+        assert pii.redact(found).first()["text"] == join.replace("+1 (269) 555-3296", "[PHONE]").join(["[EMAIL]"] * 32_000)
+
+
+def test_pii_context_across_matches(spark):
+    """Words before a span count though other matches lie between, up to ``WINDOW`` characters."""
+    rows = spark.createDataFrame([(1, "ssn 999-99-9999 123-45-6789"), (2, "ssn" + " x" * 30 + " 123-45-6789"), (3, "é" * 2000 + " ssn 123-45-6789 " + "😀" * 2000 + " a@b.cd " + "z" * 1024)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.redact(pii.find_pii(rows)).collect()}
+    assert out[1]["text"] == "ssn 999-99-9999 [SSN]" and out[2]["pii"] == []
+    assert out[3]["text"] == "é" * 2000 + " ssn [SSN] " + "😀" * 2000 + " [EMAIL] " + "z" * 1024
+
+
 def test_pii_validators_and_context(spark):
     rows = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32."), (2, "IBAN GB83 WEST 1234 5698 7654 32."), (3, "my ssn: 123-45-6789"), (4, "code 123-45-6789")], "doc_id long, text string")
     out = {r["doc_id"]: [x["kind"] for x in r["pii"]] for r in pii.find_pii(rows).collect()}
@@ -185,12 +255,20 @@ def test_decision_lists_learn(spark, docs, odd):
     assert (drop == ((x[:, 0] > 0.8) | (x[:, 1] < 0.1))).mean() > 0.93
     assert quality_rules.learn(x, np.zeros(600, bool), ["a", "b"]) == []
     labels = table(spark, SF, "labels")
-    out, _ = quality_rules.quality_rules(docs, labels)
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    out, found = quality_rules.quality_rules(docs, labels)
     y = labels.toPandas().set_index("doc_id")["quality"]
     o = out.toPandas()
     assert not (o["kept"] & o["base_failed"]).any()
+    # the verdict again, rule by rule in plain Python
+    rate = lambda r, a, b: r[a] / r[b] if r[b] else 0.0
+    of = {"symbol_rate": ("n_symbols", "word_chars"), "repeat_rate": ("n_repeat_words", "n_words"), "same_rate": ("n_same_as_before", "n_words"), "bare_rate": ("n_bare", "n_words"), "ended_rate": ("n_ended", "n_words"), "short_rate": ("n_short", "n_words"), "distinct_rate": ("n_distinct", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "mean_length": ("word_chars", "n_words")}
+    value = lambda r, f: float(r["n_words"]) if f == "n_words" else rate(r, *of[f])
+    dropped = lambda r: any(all((value(r, f) >= t) == least for f, least, t in rule.tests) for rule in found)
+    assert found and all(r["kept"] == (not r["base_failed"] and not dropped(r)) for r in o.to_dict("records"))
     o = o[o["doc_id"].isin(y.index) & (o["n_words"] >= 20)]
-    assert o["kept"][o["doc_id"].map(y) == 1].mean() >= 0.95
+    assert o["kept"][o["doc_id"].map(y) == 1].mean() >= 0.95 and o["kept"][o["doc_id"].map(y) == 0].mean() <= 0.4
+    assert quality_rules.quality_rules(docs.limit(0), labels)[0].count() == 0
     empty = labels.limit(0)
     assert quality_rules.quality_rules(odd, empty)[0].filter("kept").count() == quality_rules.document_counts(odd).filter(~quality_rules.base_failed()).count()
 
@@ -227,7 +305,52 @@ def test_targets_are_capped_and_reshared():
 
 def test_permutations():
     for n in (1, 2, 5, 1000, 4097):
-        assert sorted(mixing.permuted(np.arange(n), n, 7).tolist()) == list(range(n))
+        order = mixing.permuted(np.arange(n), n, 7)
+        assert sorted(order.tolist()) == list(range(n))
+        assert all(order[mixing.place_of(v, n, 7)] == v for v in range(0, n, max(1, n // 50)))
+
+
+def brute_taken(rows, block, shard_slots, seed=0):
+    """Words taken of each row (id, text, source), by walking the mix slot by slot."""
+    streams = defaultdict(list)
+    for k, (i, text, source, tie) in enumerate(rows):
+        streams[source].append((i is not None, i or 0, text is not None, tie, len(words(text)), k))
+    names = sorted(streams, key=lambda s: (s is None, s or ""))
+    owner = [[x[-1] for x in sorted(streams[s]) for _ in range(x[-2])] for s in names]  # the row of each word of a source
+    quotas = mixing.quotas_of([(s, len(o)) for s, o in zip(names, owner)], block, seed)
+    total = np.array([q.epochs * q.blocks + q.slots for q in quotas])
+    used, taken, late, orders = [0] * len(names), Counter(), [], {}
+
+    def take(s, k):
+        q = quotas[s]
+        if (s, k // q.blocks) not in orders:
+            orders[s, k // q.blocks] = mixing.permuted(np.arange(q.blocks), q.blocks, mixing._key(seed, s, k // q.blocks))
+        order = orders[s, k // q.blocks]
+        piece = owner[s][(at := int(order[k % q.blocks])) * block : (at + 1) * block]
+        taken.update(piece[: len(piece) - q.last_cut] if k == total[s] - 1 else piece)
+
+    for shard in range(-(-int(total.sum()) // shard_slots)):
+        for s, n in enumerate(mixing.drawn(shard, min(shard_slots, int(total.sum()) - shard * shard_slots), total, seed).tolist()):
+            for _ in range(n):
+                late.append((s, shard)) if used[s] >= total[s] else take(s, used[s])
+                used[s] += 1
+    short = [s for s in range(len(names)) for _ in range(max(0, int(total[s]) - used[s]))]
+    nth = dict(enumerate(used))
+    for s in short:
+        take(s, nth[s])
+        nth[s] += 1
+    assert len(short) == len(late)
+    return [taken[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_taken_equals_brute_force(spark, docs, odd, block):
+    hot = spark.createDataFrame([(i, f"w{i} " * (i % 50), "one", "only", 0) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    for df in (docs, odd, hot, hot.withColumn("source", F.col("doc_id").cast("string"))):
+        rows = [tuple(r) for r in df.select("doc_id", "text", "source", F.xxhash64("text")).collect()]
+        got = mixing.taken(*mixing.mix(df, block=block, shard_slots=20)).collect()
+        want = brute_taken(rows, block, 20)
+        assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter((r[0], len(words(r[1])), t) for r, t in zip(rows, want))
 
 
 @pytest.mark.parametrize("block", [3, 256])
@@ -238,8 +361,10 @@ def test_mix_meets_targets(spark, docs, odd, none, block):
         src = df.select("doc_id", "text", "source").toPandas()
         assert Counter(out["size"]) == Counter(len(words(t)) for t in src["text"])
         assert (out["taken"] <= 3 * out["size"]).all()
-        for target, group in out.groupby("target"):
-            assert group["taken"].sum() == pytest.approx(target * len(set(group["source_size"])) if target else 0, abs=1 * max(1, len(set(group["source_size"])))) or len(set(group["source_size"])) > 1
+        out["source"] = out["doc_id"].map({i: s for i, s in zip(src["doc_id"], src["source"])})
+        for _, group in out.dropna(subset=["source"]).groupby("source"):
+            lost = 4 if df is odd else 0  # the row without an id shares a source of that file
+            assert abs(group["taken"].sum() - group["target"].iloc[0]) <= 1 + lost
         assert abs(out["taken"].sum() - out["size"].sum()) <= 40
         again = mixing.taken(*mixing.mix(df.repartition(3), block=block, shard_slots=50)).toPandas()
         key = ["doc_id", "size", "taken"]
@@ -322,6 +447,18 @@ def test_sole_link_between_components_of_large_buckets(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {k: 0 if k < 6 else k for k in sets}
 
 
+def test_pairs_in_a_template(spark):
+    """2,400 documents that share 166 words, in 1,200 pairs: similarity 0.82 in a pair, 0.70 to all others."""
+    rows = []
+    for d in range(2400):
+        rows.append((d, " ".join([f"t{j}" for j in range(166)] + [f"p{d // 2}_{j}" for j in range(16)] + [f"o{d}_{j}" for j in range(20)])))
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) > 0.81 and 0.69 < alike(0, 2) < 0.71
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Params(width=2)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i - i % 2 for i in sets}
+
+
 def test_densification_fills_every_bin():
     owner, sh = np.array([0, 2, 2]), np.array([5, 6, 7], np.uint64)
     sig = neardup.signatures(owner, sh, 3, 32)

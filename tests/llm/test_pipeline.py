@@ -67,3 +67,13 @@ def test_texts_under_one_id_are_kept_apart(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, SF).collect()]
     assert sorted(t.split()[0] for _, t in out) == ["no", "other", "v0", "w0"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Columns whose names the stages use inside keep their values and types."""
+    words = " ".join(f"the word{i} of a line" for i in range(30))
+    rows = [(k, f"{words} {k}. " * (k + 1), "en", "s", 3, f"k{k}", "h", "r", 1.5) for k in range(4)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, _key string, hash string, row string, id double")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes and out.count() > 0 and out.filter("_key not like 'k%' or id <> 1.5").isEmpty()
