@@ -11,27 +11,13 @@ from loomgraph.llm.queries import PIECE_MODEL, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Decisions are matched by a hash of id and text."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    good = quality_classifier.classify(keyed.select("_key", "text"), key="_key").filter("kept").select("_key")
-    return keyed.join(good, "_key", "left_semi").select(*docs.columns)
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays. Rows without an id, and further texts of one id, are documents of their own."""
-    most, top, none = docs.groupBy("doc_id").count().agg(F.max("count"), F.max("doc_id"), F.max(F.col("doc_id").isNull())).first()
-    if (most or 0) <= 1 and not none:
-        return docs.join(neardup.near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    hashed = docs.withColumn("_text", F.xxhash64("text"))
-    texts = hashed.select("doc_id", "_text").distinct()
-    first = texts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_text"))
-    # every further text of an id gets a key after all ids
-    further = stored(texts.join(first, (texts["doc_id"] == first["doc_id"]) & (texts["_text"] == first["_text"]), "left_anti").withColumn("_more", F.lit((top or 0) + 1) + F.monotonically_increasing_id()), "keys")
-    further = further.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "_more")
-    keyed = hashed.join(further, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left").withColumn("_key", F.coalesce("_more", "doc_id"))
-    keyed = stored(keyed.select(*docs.columns, "_key"), "keyed")
-    kept = neardup.near_duplicates(keyed, doc_id="_key").filter("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """One document of each near-duplicate group stays."""
+    return neardup.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
