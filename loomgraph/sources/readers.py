@@ -69,7 +69,7 @@ def _csv(spark: SparkSession, path: str, headers: list[str] | None) -> tuple[Dat
             raise GraphError("empty_csv")
         headers = [h.strip() for h in head["line"].split(",")]
         t = t.filter(~((F.col("at") == head["at"]) & (F.col("file") == head["file"])))
-    return t.withColumn("cells", F.transform(F.split("line", ",", -1), F.trim)), headers
+    return t.withColumn("cells", F.transform(F.split("line", ",", -1), lambda x: F.trim(x))), headers
 
 
 def nodes_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

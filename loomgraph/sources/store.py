@@ -1,9 +1,11 @@
-"""A versioned store: every commit is a new folder of Parquet tables, published by writing its manifest last."""
+"""A versioned store: every commit is a new folder of Parquet tables, published by creating the next numbered manifest last."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, GraphError, PropertyGraph
@@ -16,44 +18,65 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then rename into place."""
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that must not be there yet; False if it is. The file system's own exclusive create decides between two writers."""
     fs, p = _fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise GraphError("publish_failed", path)
+    return True
 
 
-def _read(spark: SparkSession, path: str) -> dict | None:
-    fs, p = _fs(spark, path)
-    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect())) if fs.exists(p) else None
+def _published(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of manifests, the latest first."""
+    fs, p = _fs(spark, f"{root}/manifests")
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(((int(n[:-5]), f"{root}/manifests/{n}") for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+
+def _latest(spark: SparkSession, root: str) -> dict | None:
+    """The latest manifest that was written to its end; one that a crash cut short is passed over."""
+    for _, path in _published(spark, root):
+        try:
+            return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
+        except json.JSONDecodeError:
+            continue
+    return None
 
 
 def manifest(spark: SparkSession, root: str) -> dict | None:
-    m = _read(spark, f"{root}/manifest.json")
+    m = _latest(spark, root)
     if m and m["format"] > FORMAT:
         raise GraphError("newer_format", str(m["format"]))
     return m
 
 
 def save(g: PropertyGraph, root: str, expect_version: int | None = None, keep: int = 2) -> dict:
-    """Publish a graph. With ``expect_version`` the publish fails if the store has moved. Edges are dealt by source, so that
-    readers can prune and join on it; older versions beyond ``keep`` are deleted after the publish."""
+    """Publish a graph as a new numbered manifest, which only one writer can create. With ``expect_version`` the publish
+    fails if the store has moved, also between the check and the publish. Edges are dealt by source, so that readers can
+    prune and join on it; folders older than the last ``keep`` are deleted after the publish."""
     spark = g.spark
     now = manifest(spark, root)
     have = now["version"] if now else 0
     if expect_version is not None and have != expect_version:
         raise GraphError("version_conflict", f"{have} != {expect_version}")
+    number = next((n for n, _ in _published(spark, root)), 0) + 1
     version = max(g.version, have + 1)
-    folder = f"v{version:012d}"
-    g.nodes.select(*NODE_SCHEMA.names).write.mode("overwrite").parquet(f"{root}/{folder}/nodes")
-    g.edges.select(*EDGE_SCHEMA.names).repartition("from_id").sortWithinPartitions("from_id", "type").write.mode("overwrite").parquet(f"{root}/{folder}/edges")
+    folder = f"v{version:012d}-{uuid.uuid4().hex[:8]}"
+    g.nodes.select(*NODE_SCHEMA.names).write.parquet(f"{root}/{folder}/nodes")
+    g.edges.select(*EDGE_SCHEMA.names).repartition("from_id").sortWithinPartitions("from_id", "type").write.parquet(f"{root}/{folder}/edges")
     m = {"format": FORMAT, "version": version, "folder": folder, "tenant": g.tenant, "previous": ([now["folder"], *now.get("previous", [])][: keep - 1] if now else [])}
-    _write(spark, f"{root}/manifest.json", json.dumps(m))
+    if not _create(spark, f"{root}/manifests/{number:012d}.json", json.dumps(m)):
+        fs, p = _fs(spark, f"{root}/{folder}")
+        fs.delete(p, True)
+        raise GraphError("version_conflict", f"another writer published {number}")
     for old in ([now["folder"], *now.get("previous", [])] if now else [])[keep - 1 :]:
         fs, p = _fs(spark, f"{root}/{old}")
         fs.delete(p, True)
@@ -69,13 +92,15 @@ def load(spark: SparkSession, root: str) -> PropertyGraph:
 
 
 def upgrade(spark: SparkSession, root: str) -> dict:
-    """Rewrite the manifest of an older format; newer ones are refused."""
-    m = _read(spark, f"{root}/manifest.json")
+    """Publish the manifest of an older format anew; newer ones are refused."""
+    m = _latest(spark, root)
     if m is None:
         raise GraphError("no_manifest", root)
     if m.get("format", 0) > FORMAT:
         raise GraphError("newer_format", str(m["format"]))
     if m.get("format", 0) < FORMAT:
         m = {**m, "format": FORMAT, "previous": m.get("previous", [])}
-        _write(spark, f"{root}/manifest.json", json.dumps(m))
+        number = _published(spark, root)[0][0] + 1
+        if not _create(spark, f"{root}/manifests/{number:012d}.json", json.dumps(m)):
+            raise GraphError("version_conflict", f"another writer published {number}")
     return m

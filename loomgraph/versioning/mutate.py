@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..iterate import settle
+from ..iterate import numbered, settle
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, GraphError, PropertyGraph, as_edges, as_nodes
 
 
@@ -37,7 +37,7 @@ def upsert_nodes(g: PropertyGraph, rows: DataFrame, seq: str | None = None) -> P
     if not rows.filter(_blank("id")).isEmpty():
         raise GraphError("blank_node_id")
     order = rows.select("id", *([F.col(seq).alias("_seq")] if seq else [F.xxhash64("id").alias("_seq")]), *[c for c in rows.columns if c not in ("id", seq)])
-    keep = order.withColumn("_n", F.row_number().over(Window.orderBy("_seq", "id")))
+    keep = numbered(order, "_seq", "id")
     last = settle(_latest(keep, "_n"))
     new = as_nodes(last.withColumn("version", F.lit(g.version) + F.col("_n")))
     n = keep.count()
@@ -65,7 +65,7 @@ def upsert_edges(g: PropertyGraph, rows: DataFrame, seq: str | None = None) -> P
     bad = rejects(g, rows).first()
     if bad:
         raise GraphError(bad["code"], str(bad["id"]))
-    keep = rows.withColumn("_n", F.row_number().over(Window.orderBy(*([F.col(seq)] if seq else []), "id")))
+    keep = numbered(rows, *([seq] if seq else []), "id")
     last = settle(_latest(keep, "_n"))
     new = as_edges(last.withColumn("version", F.lit(g.version) + F.col("_n")))
     return g.with_(edges=_merge(g.edges, new, EDGE_SCHEMA.names), version=g.version + rows.count())

@@ -5,24 +5,27 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..iterate import settle
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, GraphError, PropertyGraph
 
 CHUNK_MOST, CHUNK_LEAST = 16, 4
 
 
 def content_objects(g: PropertyGraph) -> DataFrame:
-    """(key, kind, hash, parents) sorted by key; keys are node/<id> and edge/<id>."""
+    """(key, kind, hash, parents) in any order; keys are node/<id> and edge/<id>."""
     n = g.nodes.select(F.concat(F.lit("node/"), "id").alias("key"), F.lit("node").alias("kind"), F.col("content_hash").alias("hash"), F.col("parent_hashes").alias("parents"))
     e = g.edges.select(F.concat(F.lit("edge/"), "id").alias("key"), F.lit("edge").alias("kind"), F.col("content_hash").alias("hash"), F.col("parent_hashes").alias("parents"))
-    return n.unionByName(e).orderBy("key")
+    return n.unionByName(e)
 
 
-def _chunks(entries: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+def _chunks(entries: list[tuple[str, str]], last: bool = True) -> list[list[tuple[str, str]]]:
+    """Chunks end at 16 entries, or from 4 on where a hash's last digit is one of 0, 4, 8, c; an open one is left out unless it is the ``last``."""
     out: list[list[tuple[str, str]]] = []
     now: list[tuple[str, str]] = []
     for key, h in entries:
@@ -30,44 +33,80 @@ def _chunks(entries: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
         if len(now) >= CHUNK_MOST or (len(now) >= CHUNK_LEAST and h[-1] in "048c"):
             out.append(now)
             now = []
-    return out + [now] if now else out
+    return out + [now] if now and last else out
 
 
-def _level(entries: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    return [(c[0][0], "sha256:" + hashlib.sha256(json.dumps(c, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()) for c in _chunks(entries)]
+def _hashed(chunks: list[list[tuple[str, str]]]) -> list[tuple[str, str]]:
+    return [(c[0][0], "sha256:" + hashlib.sha256(json.dumps(c, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()) for c in chunks]
 
 
-def tree(objects: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
-    """The hash tree over (key, hash): (level, key, hash, size), the root last. Independent of input order.
+def _upper(entries: list[tuple[str, str]], level: int) -> list[tuple[int, str, str]]:
+    """All levels above sorted ``entries``, the entries left out."""
+    rows: list[tuple[int, str, str]] = []
+    while len(entries) > 1 or not rows:
+        entries = _hashed(_chunks(entries)) if entries else [("", "sha256:" + hashlib.sha256(b"[]").hexdigest())]
+        level += 1
+        rows += [(level, k, h) for k, h in entries]
+    return rows
 
-    Chunk borders depend on what came before, so a range's entries are chunked in one task; ranges are cut by key hash
-    prefix so that every border is the same for the same content, and the upper levels, 1/4 or less each, go on.
+
+_TREE = "level int, key string, hash string"
+
+
+def _open_after(hashes: list[str], have: int) -> int:
+    """Entries of the open chunk after reading hashes with ``have`` already in it."""
+    for h in hashes:
+        have += 1
+        if have >= CHUNK_MOST or (have >= CHUNK_LEAST and h[-1] in "048c"):
+            have = 0
+    return have
+
+
+def _next_level(entries: DataFrame, level: int) -> DataFrame:
+    """One level over many ranges, the same as in one task.
+
+    All that a range must know of those before is the open chunk that they leave. Each range says for all 16 sizes of
+    such a chunk what it leaves itself, with its last entries; the driver follows these from range to range.
     """
-    spark = objects.sparkSession
+    ranges = settle(entries.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        h, tail = pdf["hash"].tolist(), pdf.tail(CHUNK_MOST - 1)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "leaves": [[_open_after(h, k) for k in range(CHUNK_MOST)]], "keys": [tail["key"].tolist()], "hashes": [tail["hash"].tolist()]})
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        entries = sorted(zip(pdf["key"], pdf["hash"]))
-        level = 0
-        while True:
-            rows += [(level, k, h) for k, h in entries]
-            if len(entries) <= 1 and level > 0:
-                break
-            entries = _level(entries) if entries else [("", "sha256:" + hashlib.sha256(b"[]").hexdigest())]
-            level += 1
-        return pd.DataFrame(rows, columns=["level", "key", "hash"])
-
-    n = objects.count()
-    parts = 1 << max(0, (n // rows_per_range)).bit_length() if n > rows_per_range else 1
-    part = (F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("long") % parts).cast("int")
-    if not n:
-        return spark.createDataFrame([(1, "", "sha256:" + hashlib.sha256(b"[]").hexdigest())], "level int, key string, hash string")
-    done = objects.select("key", "hash", part.alias("part")).groupBy("part").applyInPandas(lambda pdf: kernel(pdf[["key", "hash"]]).assign(part=int(pdf["part"].iloc[0])), "level int, key string, hash string, part int")
-    if parts == 1:
-        return done.drop("part")
-    roots = done.groupBy("part").agg(F.max_by("hash", "level").alias("hash")).select(F.format_string("%08d", "part").alias("key"), "hash")
-    top = roots.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(lambda pdf: kernel(pdf[["key", "hash"]]).assign(level=lambda d: d["level"] + 100), "level int, key string, hash string")
-    return done.drop("part").unionByName(top)
+    before: dict[int, list[tuple[str, str]]] = {}
+    open_: list[tuple[str, str]] = []
+    for r in ranges.groupBy("part").applyInPandas(summary, "part int, leaves array<int>, keys array<string>, hashes array<string>").orderBy("part").collect():  # 15 entries a range
+        before[r["part"]], left = open_, r["leaves"][len(open_)]
+        open_ = (open_ + list(zip(r["keys"], r["hashes"])))[-left:] if left else []
+    end = max(before)
+
+    def chunked(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        own = sorted(zip(pdf["key"], pdf["hash"]))
+        return pd.DataFrame([(level, k, h) for k, h in _hashed(_chunks(before[part] + own, part == end))], columns=["level", "key", "hash"])
+
+    return settle(ranges.groupBy("part").applyInPandas(chunked, _TREE))
+
+
+def tree(objects: DataFrame, task_rows: int = 1_000_000) -> DataFrame:
+    """The hash tree over (key, hash): (level, key, hash), the root last. It depends on the content alone, not on row order, partitions or size.
+
+    While a level has more than ``task_rows`` entries the next is made range by range; what is left is finished in one task.
+    """
+    spark = objects.sparkSession
+    now = settle(objects.select(F.lit(0).alias("level"), "key", "hash"))
+    parts, level = [now], 0
+    while (n := now.count()) > task_rows:
+        level += 1
+        now = _next_level(now.select("key", "hash"), level)
+        parts.append(now)
+    if n:
+        rest = now.select("key", "hash", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda pdf: pd.DataFrame(_upper(sorted(zip(pdf["key"], pdf["hash"])), level), columns=["level", "key", "hash"]), _TREE)
+    else:
+        rest = spark.createDataFrame(_upper([], level), _TREE)
+    return reduce(DataFrame.unionByName, [*parts, rest])
 
 
 def root_hash(g: PropertyGraph) -> str:
@@ -128,11 +167,11 @@ class Repository:
 
 
 def diff(base: PropertyGraph, target: PropertyGraph) -> DataFrame:
-    """(key, kind, change, base_hash, target_hash); change is added, removed, modified or unchanged."""
+    """(key, kind, change, base_hash, target_hash) in any order; change is added, removed, modified or unchanged."""
     a, b = content_objects(base), content_objects(target)
     j = a.select("key", F.col("kind").alias("k1"), F.col("hash").alias("base_hash")).join(b.select("key", F.col("kind").alias("k2"), F.col("hash").alias("target_hash")), "key", "full_outer")
     change = F.when(F.col("base_hash").isNull(), "added").when(F.col("target_hash").isNull(), "removed").when(F.col("base_hash") == F.col("target_hash"), "unchanged").otherwise("modified")
-    return j.select("key", F.coalesce("k1", "k2").alias("kind"), change.alias("change"), "base_hash", "target_hash").orderBy("key")
+    return j.select("key", F.coalesce("k1", "k2").alias("kind"), change.alias("change"), "base_hash", "target_hash")
 
 
 STRATEGIES = ("auto_confidence", "prefer_ours", "prefer_theirs", "manual")

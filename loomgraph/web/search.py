@@ -7,12 +7,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..algorithms.kernels import personalised
 from ..functions.scalar import domain, lexical_score, snippet, title_from_url
-from ..iterate import settle
+from ..iterate import numbered, settle
 from ..operators.match import reach
 
 DIM, DENSE_LEAST, DENSE_TOP, RRF_K, RINGS = 128, 0.08, 64, 60, 2
@@ -72,7 +72,7 @@ def substrate_search(pages: DataFrame, links: DataFrame, query: str, limit: int
     lex = pages.select("id", lexical_score(F.col("url"), F.col("text"), terms).alias("s")).filter("s > 0")
     dense = dense_scores(pages, query).filter(F.col("dense") >= DENSE_LEAST).select("id", F.col("dense").alias("s")).orderBy(F.desc("s"), "id").limit(DENSE_TOP)
     # ranks are given to hits alone; all of them seed the PageRank
-    rank = lambda df: df.select("id", (1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("s"), "id")))).alias("r"))
+    rank = lambda df: numbered(df, F.desc("s"), F.col("id")).select("id", (1.0 / (RRF_K + F.col("_n"))).alias("r"))
     fused = settle(rank(lex).unionByName(rank(dense)).groupBy("id").agg(F.sum("r").alias("rrf")))
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     rings = reach(fused.select("id"), both, RINGS).withColumnRenamed("depth", "ring")
