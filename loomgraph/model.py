@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,6 +223,8 @@ class PropertyGraph:
     designations: tuple[Designation, ...] = ()
     tenant: str = "default"
     vectors: dict[tuple[str, str], DataFrame] = field(default_factory=dict, compare=False)
+    label_tables: dict[str, DataFrame] = field(default_factory=dict, compare=False)  #: all nodes of each label, where they are kept apart
+    type_tables: dict[str, DataFrame] = field(default_factory=dict, compare=False)  #: all edges of each type, where they are kept apart
 
     @property
     def spark(self) -> SparkSession:
@@ -243,9 +245,36 @@ class PropertyGraph:
         e = self.live_edges
         return e.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*EDGE_SCHEMA.names)
 
+    def labelled(self, label: str | None) -> DataFrame:
+        """Live nodes with a label; where nodes are kept apart by label, only that table is read."""
+        if label is None:
+            return self.live_nodes
+        if self.label_tables:
+            table = self.label_tables.get(label)
+            return self.nodes.limit(0) if table is None else table.filter(~F.col("tombstone"))
+        return self.live_nodes.filter(F.array_contains("labels", label))
+
+    def typed(self, edge_type: str | None) -> DataFrame:
+        """Live edges of a type; where edges are kept apart by type, only that table is read."""
+        if edge_type is None:
+            return self.live_edges
+        if self.type_tables:
+            table = self.type_tables.get(edge_type)
+            return self.edges.limit(0) if table is None else table.filter(~F.col("tombstone"))
+        return self.live_edges.filter(F.col("type") == edge_type)
+
     def with_(self, **changes: object) -> PropertyGraph:
+        for part, tables in (("nodes", "label_tables"), ("edges", "type_tables")):
+            if part in changes and tables not in changes:
+                changes[tables] = {}
         return replace(self, **changes)
 
+    @staticmethod
+    def of_tables(labels: dict[str, DataFrame], types: dict[str, DataFrame], **options: object) -> PropertyGraph:
+        """A graph whose nodes, in the node envelope, come in one table a label (one label a node), its edges in one a type."""
+        union = lambda parts: reduce(DataFrame.unionByName, parts)
+        return PropertyGraph(union(labels.values()), union(types.values()), label_tables=labels, type_tables=types, **options)
+
     @staticmethod
     def of(nodes: DataFrame, edges: DataFrame, **options: object) -> PropertyGraph:
         """A graph from loose tables; see :func:`as_nodes` and :func:`as_edges`."""

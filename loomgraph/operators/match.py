@@ -29,9 +29,7 @@ def target_equals(key: str, value: object) -> Column:
 
 def node_query(g: PropertyGraph, label: str | None = None, properties: dict[str, object] | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Live nodes with the label and all property values, by id; limit None is no limit, absent or 0 the default."""
-    out = g.live_nodes
-    if label is not None:
-        out = out.filter(has_label(label))
+    out = g.labelled(label)
     for k, v in (properties or {}).items():
         out = out.filter(token_equals(k, v))
     out = out.orderBy("id")
@@ -51,11 +49,11 @@ def property_ids(g: PropertyGraph, key: str, value: object) -> DataFrame:
 
 
 def label_ids(g: PropertyGraph, label: str) -> DataFrame:
-    return g.live_nodes.filter(has_label(label)).select("id").orderBy("id")
+    return g.labelled(label).select("id").orderBy("id")
 
 
 def type_ids(g: PropertyGraph, edge_type: str) -> DataFrame:
-    return g.live_edges.filter(F.col("type") == edge_type).select("id").orderBy("id")
+    return g.typed(edge_type).select("id").orderBy("id")
 
 
 def of_kind(kinds: list[str]) -> Column:
@@ -122,7 +120,7 @@ def chain(g: PropertyGraph, patterns: list[tuple[str | None, list[Column]]], typ
 
     def matching(pattern: tuple[str | None, list[Column]]) -> DataFrame:
         label, tests = pattern
-        out = g.live_nodes if label is None else g.live_nodes.filter(has_label(label))
+        out = g.labelled(label)
         for t in tests:
             out = out.filter(t)
         return out
@@ -144,7 +142,7 @@ def var_length(
     if high < 1 or low > high:
         raise GraphError("invalid_range", f"{low}..{high}")
     nodes = g.live_nodes.select("id")
-    edges = settle(edge_filter(g.live_edges, edge_type).select("from_id", "to_id").join(nodes.withColumnRenamed("id", "to_id"), "to_id", "left_semi"))
+    edges = settle(g.typed(edge_type).select("from_id", "to_id").join(nodes.withColumnRenamed("id", "to_id"), "to_id", "left_semi"))
     allowed = None if target is None else target.select("id").distinct()
     frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id"), F.array("id").alias("path"))
     visited = settle(frontier.select("seed", "id", F.lit(0).alias("depth"), "path"))

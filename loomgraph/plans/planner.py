@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..iterate import first_rows
 from ..model import GraphError, PropertyGraph, token_number, token_text
-from ..operators.match import has_label, target_equals, token_equals, var_length
+from ..operators.match import target_equals, token_equals, var_length
 from ..versioning.mutate import tombstone_nodes, upsert_edges, upsert_nodes
 from .syntax import DEFAULT_LIMIT, Assignment, Item, NodePattern, Query, parse
 
@@ -75,7 +75,7 @@ def matches(g: PropertyGraph, q: Query) -> DataFrame:
 
     def side(i: int) -> DataFrame:
         n = q.pattern.nodes[i]
-        df = g.live_nodes if n.label is None else g.live_nodes.filter(has_label(n.label))
+        df = g.labelled(n.label)
         for t in tests[i]:
             df = df.filter(t)
         cols = [F.col("id").alias(f"id{i}")]
@@ -92,7 +92,7 @@ def matches(g: PropertyGraph, q: Query) -> DataFrame:
         rows = rows.join(reach.select(F.col("seed").alias("id0"), F.col("id").alias("id1"), "path"), "id0").join(end, "id1")
         return rows
     for i, h in enumerate(hops, 1):
-        e = g.live_edges.filter(F.col("type") == h.type).select(F.col("from_id").alias(f"id{i - 1}"), F.col("to_id").alias(f"id{i}"))
+        e = g.typed(h.type).select(F.col("from_id").alias(f"id{i - 1}"), F.col("to_id").alias(f"id{i}"))
         rows = rows.join(e, f"id{i - 1}").join(side(i), f"id{i}")
     if q.pattern.path:
         rows = rows.withColumn("path", F.array(*[f"id{i}" for i in range(len(hops) + 1)]))
@@ -288,7 +288,7 @@ def write(g: PropertyGraph, q: Query) -> PropertyGraph:
     if q.pattern.hops:
         raise GraphError("unsupported_cypher", f"{q.kind.upper()} takes a single-node pattern")
     n = q.pattern.nodes[0]
-    hit = g.live_nodes if n.label is None else g.live_nodes.filter(has_label(n.label))
+    hit = g.labelled(n.label)
     for t in _tests(q)[0]:
         hit = hit.filter(t)
     if q.kind == "delete":

@@ -57,31 +57,23 @@ def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 def _commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     t = lambda n: table(spark, sf_dir, n)
     c, s, n, r, p, o, l = (t(x) for x in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem"))
-    parts = [
-        nodes_of(r, ref("region", "r_regionkey"), "Region", ["r_regionkey", "r_name"]),
-        nodes_of(n, ref("nation", "n_nationkey"), "Nation", ["n_nationkey", "n_name"]),
-        nodes_of(c, ref("customer", "c_custkey"), "Customer", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]),
-        nodes_of(s, ref("supplier", "s_suppkey"), "Supplier", ["s_suppkey", "s_name", "s_acctbal"]),
-        nodes_of(p, ref("part", "p_partkey"), "Part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
-        nodes_of(o, ref("order", "o_orderkey"), "Order", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]),
-    ]
     line = F.concat_ws("/", F.lit("line"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    edges = [
-        edges_of(n, ref("nation", "n_nationkey"), "IN_REGION", ref("region", "n_regionkey")),
-        edges_of(c, ref("customer", "c_custkey"), "IN_NATION", ref("nation", "c_nationkey")),
-        edges_of(s, ref("supplier", "s_suppkey"), "IN_NATION", ref("nation", "s_nationkey")),
-        edges_of(o, ref("customer", "o_custkey"), "PLACED", ref("order", "o_orderkey")),
-        edges_of(l, ref("order", "l_orderkey"), "CONTAINS", ref("part", "l_partkey"), line, 1 - F.col("l_discount")),
-        edges_of(l, ref("order", "l_orderkey"), "SUPPLIED_BY", ref("supplier", "l_suppkey"), F.concat(line, F.lit("/s")), 1 - F.col("l_discount")),
-    ]
-    return PropertyGraph(_union(parts), _union(edges))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    labels = {
+        "Region": nodes_of(r, ref("region", "r_regionkey"), "Region", ["r_regionkey", "r_name"]),
+        "Nation": nodes_of(n, ref("nation", "n_nationkey"), "Nation", ["n_nationkey", "n_name"]),
+        "Customer": nodes_of(c, ref("customer", "c_custkey"), "Customer", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]),
+        "Supplier": nodes_of(s, ref("supplier", "s_suppkey"), "Supplier", ["s_suppkey", "s_name", "s_acctbal"]),
+        "Part": nodes_of(p, ref("part", "p_partkey"), "Part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+        "Order": nodes_of(o, ref("order", "o_orderkey"), "Order", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]),
+    }
+    types = {
+        "IN_REGION": edges_of(n, ref("nation", "n_nationkey"), "IN_REGION", ref("region", "n_regionkey")),
+        "IN_NATION": edges_of(c, ref("customer", "c_custkey"), "IN_NATION", ref("nation", "c_nationkey")).unionByName(edges_of(s, ref("supplier", "s_suppkey"), "IN_NATION", ref("nation", "s_nationkey"))),
+        "PLACED": edges_of(o, ref("customer", "o_custkey"), "PLACED", ref("order", "o_orderkey")),
+        "CONTAINS": edges_of(l, ref("order", "l_orderkey"), "CONTAINS", ref("part", "l_partkey"), line, 1 - F.col("l_discount")),
+        "SUPPLIED_BY": edges_of(l, ref("order", "l_orderkey"), "SUPPLIED_BY", ref("supplier", "l_suppkey"), F.concat(line, F.lit("/s")), 1 - F.col("l_discount")),
+    }
+    return PropertyGraph.of_tables(labels, types)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -97,6 +89,15 @@ def turns(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(nodes, edges_of(e, tid, "NEXT", nxt, None, conf, kind))
 
 
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns' NEXT edges, and an edge back from every assistant's turn to the one before, as (a, b, w): chains with cycles and bridges."""
+    from .algorithms.iterative import edge_pairs
+
+    t = table(spark, sf_dir, "conversations").filter("role = 'assistant' and turn > 0").select("conv_id", "turn").distinct()
+    tid = lambda n: F.concat_ws(":", F.lit("turn"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(n.cast("string"), 4, "0"))
+    return edge_pairs(turns(spark, sf_dir)).unionByName(t.select(tid(F.col("turn")).alias("a"), tid(F.col("turn") - 1).alias("b"), F.lit(1.0).alias("w")))
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct customer-supplier pairs as (a, b, w)."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
