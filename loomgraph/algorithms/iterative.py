@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..iterate import settle
+from ..iterate import numbered, settle
 from ..model import PropertyGraph, effective_confidence
 
 
@@ -128,7 +128,7 @@ def strong_components(pairs: DataFrame) -> DataFrame:
         rows = rows.unionByName(more)
     rows = settle(rows)
     first = rows.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("m"))
-    first = first.select("root", (F.row_number().over(Window.orderBy(F.desc("size"), "m")) - 1).alias("component"))
+    first = numbered(first, F.desc("size"), F.col("m")).select("root", (F.col("_n") - 1).cast("int").alias("component"))
     return rows.join(first, "root").select("id", "component")
 
 
@@ -136,7 +136,7 @@ def component_list(labels: DataFrame) -> DataFrame:
     """(component_id, size, members): size descending, then member list. A member list is a report; for large components use the labels."""
 
     got = labels.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members")).select(F.size("members").alias("size"), "members")
-    return got.select((F.row_number().over(Window.orderBy(F.desc("size"), "members")) - 1).alias("component_id"), "size", "members")
+    return numbered(got, F.desc("size"), F.col("members")).select((F.col("_n") - 1).cast("int").alias("component_id"), "size", "members")
 
 
 def label_propagation(pairs: DataFrame, max_rounds: int = 32) -> DataFrame:
@@ -165,7 +165,7 @@ def number_communities(labels: DataFrame) -> DataFrame:
     """Number communities 0, 1, ... by smallest member; the table of communities, not of nodes, is ordered."""
 
     first = labels.groupBy("community").agg(F.min("id").alias("m"))
-    first = first.select("community", (F.row_number().over(Window.orderBy("m")) - 1).alias("n"))
+    first = numbered(first, "m").select("community", (F.col("_n") - 1).cast("int").alias("n"))
     return labels.join(first, "community").select("id", F.col("n").alias("community"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GraphError, PropertyGraph
-from ..operators import match, paths, stats, vector
+from ..operators import fulltext, match, paths, spatial, stats, vector
 from . import iterative, kernels, similarity
 
 MODES = ("estimate", "stream", "stats", "mutate")
@@ -38,8 +39,63 @@ def register(op: Operation) -> Operation:
     return op
 
 
+#: JSON types by Python type of a default.
+JSON_TYPES = {bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}
+
+
+def schema(op: Operation) -> dict:
+    """The JSON schema of an operation's arguments; a type is left open where the default doesn't show it."""
+    known = {k: JSON_TYPES.get(type(v)) for k, v in op.args.items() if v is not ...}
+    props = {k: ({"type": known[k], "default": v} if known.get(k) else {"default": v}) if v is not ... else {} for k, v in op.args.items()}
+    return {"type": "object", "properties": props, "required": sorted(k for k, v in op.args.items() if v is ...), "additionalProperties": False}
+
+
 def catalog() -> list[dict]:
-    return [{"name": o.name, "summary": o.summary, "modes": ["estimate", *o.modes], "args": {k: "required" if v is ... else v for k, v in o.args.items()}} for o in sorted(REGISTRY.values(), key=lambda o: o.name)]
+    return [{"name": o.name, "summary": o.summary, "modes": ["estimate", *o.modes], "args": {k: "required" if v is ... else v for k, v in o.args.items()}, "schema": schema(o), "route": f"/algorithms/{o.name}"} for o in sorted(REGISTRY.values(), key=lambda o: o.name)]
+
+
+@dataclass(frozen=True)
+class Plugin:
+    """What a plug-in brings: operations, and backends by kind ("spatial", "fulltext") and name."""
+
+    name: str
+    operations: tuple[Operation, ...] = ()
+    backends: tuple[tuple[str, str, object], ...] = ()
+
+    def capabilities(self) -> tuple[str, ...]:
+        kinds = [k for k, _, _ in self.backends] + (["operations"] if self.operations else [])
+        return tuple(sorted(set(kinds)))
+
+
+PLUGINS: dict[str, Plugin] = {}
+BACKENDS: dict[tuple[str, str], object] = {}
+
+
+def install(plugin: Plugin) -> None:
+    """Register all that a plug-in brings; a name that is taken, or an unknown kind, is an error and changes nothing."""
+    if plugin.name in PLUGINS:
+        raise GraphError("duplicate_plugin", plugin.name)
+    for kind, name, _ in plugin.backends:
+        if kind not in ("spatial", "fulltext"):
+            raise GraphError("unknown_backend_kind", kind)
+        if (kind, name) in BACKENDS:
+            raise GraphError("duplicate_backend", f"{kind}/{name}")
+    for op in plugin.operations:
+        if op.name in REGISTRY:
+            raise GraphError("duplicate_operation", op.name)
+    for op in plugin.operations:
+        register(op)
+    BACKENDS.update({(kind, name): b for kind, name, b in plugin.backends})
+    PLUGINS[plugin.name] = plugin
+
+
+def backend(kind: str, name: str | None = None, environment: dict[str, str] | None = None) -> object:
+    """A backend by name, else the one that the environment names (LOOMGRAPH_SPATIAL, LOOMGRAPH_FULLTEXT), else the built-in one."""
+    env = os.environ if environment is None else environment
+    wanted = name or env.get(f"LOOMGRAPH_{kind.upper()}") or "builtin"
+    if (kind, wanted) not in BACKENDS:
+        raise GraphError("unknown_backend", f"{kind}/{wanted}")
+    return BACKENDS[kind, wanted]
 
 
 def estimate(g: PropertyGraph, op: Operation) -> dict:
@@ -118,7 +174,7 @@ def _shortest(g: PropertyGraph, source: str, target: str, max_depth: int, weight
 
 
 def _similar(g: PropertyGraph, metric: str, degree_cutoff: int, similarity_cutoff: float, top_k: int, label: str | None) -> DataFrame:
-    only = g.live_nodes.filter(match.has_label(label)).select("id") if label else None
+    only = g.labelled(label).select("id") if label else None
     return similarity.node_similarity(iterative.edge_pairs(g), metric, degree_cutoff, similarity_cutoff, top_k, only)
 
 
@@ -150,3 +206,7 @@ register(Operation("similarity_knn", "Nearest nodes by cosine", lambda g, label,
 register(Operation("shortest_path", "Fewest hops or least 1 - confidence", _shortest, ("stream",), {"source": ..., "target": ..., "max_depth": 16, "weighted": True}))
 register(Operation("expand", "Nodes within some hops", lambda g, seeds, max_depth, weighted, min_confidence: match.expand(g, seeds, max_depth, min_confidence if weighted else None), ("stream",), {"seeds": ..., "max_depth": 3, "weighted": True, "min_confidence": 0.0}, "depth"))
 register(Operation("morphological_message_passing", "Feature averages along typed edges", _morphology, ("stream",), {"feature_property": "features", "iterations": 1, "relation_weights": {}}))
+
+install(Plugin("spatial", backends=(("spatial", "builtin", spatial), ("spatial", "grid", spatial.Grid))))
+install(Plugin("fulltext", backends=(("fulltext", "builtin", fulltext), ("fulltext", "postings", fulltext.Postings))))
+install(Plugin("echo", operations=(Operation("echo", "Its arguments, to try the interface", lambda g, message: g.spark.createDataFrame([(str(message),)], "message string"), ("stream",), {"message": ...}),)))

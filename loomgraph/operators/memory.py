@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,16 @@ def mentioned(texts: DataFrame, id_col: str = "id", text: str = "text") -> DataF
     return texts.select(F.col(id_col).alias("id"), F.posexplode(mentions(F.col(text))).alias("place", "name"))
 
 
+def wait_for_mentions(read: Callable[[], DataFrame], name: str, timeout_s: float = 30.0, every_s: float = 0.5, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Ids of texts that mention ``name``, as soon as there are any; empty after the timeout. ``read`` gives the texts (id, text) as they are now."""
+    end = clock() + timeout_s
+    while True:
+        found = [r[0] for r in mentioned(read()).filter(F.col("name") == name).select("id").distinct().orderBy("id").collect()]
+        if found or clock() >= end:
+            return found
+        sleep(min(every_s, max(0.0, end - clock())))
+
+
 def presence(beats: DataFrame, now_ms: int, ttl_ms: int = 60_000) -> DataFrame:
     """(actor, surface, last_ms) of actors whose last heartbeat is recent."""
     return beats.groupBy("actor", "surface").agg(F.max("at_ms").alias("last_ms")).filter(F.col("last_ms") >= now_ms - ttl_ms)

@@ -53,6 +53,12 @@ class VersionedCache:
         self.entries.move_to_end(key)
         return self.entries[key]["value"]
 
+    def explain(self, kind: str, request: object, version: int) -> dict:
+        """What :meth:`get` would say, and why."""
+        key = (kind, self.fingerprint(request))
+        e = self.entries.get(key)
+        return {"kind": kind, "key": key[1], "state": self.check(kind, request, version), "asked_version": version, "entry_version": None if e is None else e["version"], "place": None if e is None else list(self.entries).index(key)}
+
     def invalidate(self, kind: str | None = None, fingerprint: str | None = None, stale_before: int | None = None) -> int:
         gone = [k for k, e in self.entries.items() if (kind is None or k[0] == kind) and (fingerprint is None or k[1] == fingerprint) and (stale_before is None or e["version"] < stale_before)]
         for k in gone:

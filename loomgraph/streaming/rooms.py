@@ -30,6 +30,12 @@ class DeltaRoom:
             self.applied, self.ignored_stale, self._last = self.applied + r[0], self.ignored_stale + r[1], batch
         self.state = settle(join_cells(self.state, delta), drop=self.state if hasattr(self.state, "_settled") else None)
 
+    def pull(self, seen: DataFrame) -> DataFrame:
+        """The reply to a PULL: all cells of the room newer than the version vector ``seen`` (actor, physical_ms, logical); joining it brings a member up to date."""
+        from ..versioning.crdt import diff_since
+
+        return diff_since(self.state, seen)
+
     def attach(self, stream: DataFrame, checkpoint: str):
         """Start a query that feeds the room."""
         return stream.writeStream.foreachBatch(lambda df, n: self.join(df, n)).option("checkpointLocation", checkpoint).outputMode("append").start()
