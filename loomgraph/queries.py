@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import testdata as td
 from .algorithms import iterative, kernels, registry, similarity
 from .functions import scalar
-from .iterate import settle
+from .iterate import scratch, settle
 from .model import PropertyGraph, token_text
 from .operators import fulltext, match, memory, paths, spatial, stats, vector
 from .plans.planner import cypher
+from .sources import readers
 from .streaming import rooms
 from .versioning import crdt, mutate, overlay, snapshot
 from .web import crawl, search
@@ -58,6 +60,8 @@ cy("cypher_where", "MATCH (o:Order) WHERE o.o_orderstatus = 'F' RETURN o.o_order
    "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F'", types={"k": "bigint", "price": "double"})
 cy("cypher_with_group", "MATCH (p:Part) WITH p.p_brand AS brand, COUNT(*) AS n, AVG(p.p_retailprice) AS mean, MIN(p.p_size) AS low, MAX(p.p_size) AS high RETURN brand, n, mean, low, high ORDER BY n DESC",
    "SELECT p_brand AS brand, count(*) AS n, round(avg(p_retailprice), 2) AS mean, min(p_size)::DOUBLE AS low, max(p_size)::DOUBLE AS high FROM part GROUP BY 1", rounded=("mean",))
+cy("cypher_top_groups", "MATCH (p:Part) WITH p.p_type AS kind, COUNT(*) AS n, MAX(p.p_retailprice) AS high RETURN kind, n, high ORDER BY n DESC LIMIT 7",
+   "SELECT p_type AS kind, count(*) AS n, max(p_retailprice) AS high FROM part GROUP BY 1 ORDER BY n DESC, kind LIMIT 7")
 cy("cypher_with_distinct", "MATCH (p:Part) WITH p.p_type AS kind, p.p_brand AS brand RETURN kind, brand", "SELECT DISTINCT p_type AS kind, p_brand AS brand FROM part")
 cy("cypher_aggregates", "MATCH (c:Customer) RETURN SUM(c.c_acctbal) AS total, AVG(c.c_acctbal) AS mean, MIN(c.c_acctbal) AS low, MAX(c.c_acctbal) AS high, COUNT(c) AS n",
    "SELECT round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 2) AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high, count(*) AS n FROM customer", rounded=("total", "mean"))
@@ -119,12 +123,12 @@ def _(spark, d):
     return stats.graph_stats(td.commerce(spark, d)).select("node_count", "edge_count", "label_count", "type_count")
 
 
-@query("label_catalog", "SELECT unnest(['Customer', 'Nation', 'Order', 'Part', 'Region', 'Supplier']) AS label")
+@query("label_catalog", "SELECT 'Customer' AS label FROM customer UNION SELECT 'Nation' FROM nation UNION SELECT 'Order' FROM orders UNION SELECT 'Part' FROM part UNION SELECT 'Region' FROM region UNION SELECT 'Supplier' FROM supplier")
 def _(spark, d):
     return stats.labels(td.commerce(spark, d))
 
 
-@query("property_catalog", "SELECT unnest(['conv_id', 'role', 'turn']) AS key")
+@query("property_catalog", "SELECT 'conv_id' AS key FROM conversations WHERE conv_id IS NOT NULL UNION SELECT 'role' FROM conversations WHERE role IS NOT NULL UNION SELECT 'turn' FROM conversations WHERE turn IS NOT NULL")
 def _(spark, d):
     return stats.property_keys(td.turns(spark, d))
 
@@ -168,9 +172,13 @@ def _(spark, d):
     return vector.knn_pairs(td.vectors(spark, d), 5, -1.0).select("source", F.col("rank").cast("int").alias("rank"), F.round("similarity", 5).alias("similarity"))
 
 
-@query("hybrid_search")
+@query("hybrid_search", """WITH d AS (SELECT 'vec:' || vec_id AS id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d FROM embeddings), h AS (SELECT * FROM d ORDER BY d, id LIMIT 20),
+    s AS (SELECT id, 0.5 * (1 - d / (SELECT max(d) FROM h)) + CASE WHEN id IN ('vec:1', 'vec:2', (SELECT id FROM h ORDER BY d DESC LIMIT 1)) THEN 0.5 ELSE 0 END AS score FROM h)
+    SELECT id, round(score, 4) AS score FROM s ORDER BY score DESC, id LIMIT 10""")
 def _(spark, d):
-    return vector.hybrid_search(_vector_graph(spark, d), _probe(spark, d), ["vec:1", "vec:2"], 10, "Vec")
+    g, probe = _vector_graph(spark, d), _probe(spark, d)
+    far = vector.vector_search(g, probe, 20, "Vec").orderBy(F.desc("distance")).first()["id"]  # a seed among the hits
+    return vector.hybrid_search(g, probe, ["vec:1", "vec:2", far], 10, "Vec").select("id", F.round("score", 4).alias("score"))
 
 
 # --------------------------------------------------------------------------- text
@@ -191,6 +199,17 @@ def _(spark, d):
     return fulltext.postings(td.table(spark, d, "documents"), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
 
 
+@query("bm25_postings", f"""WITH d AS (SELECT doc_id, CASE lang WHEN 'fr' THEN text || ' onst onst' ELSE text END AS text FROM documents WHERE lang <> 'de'), t AS (SELECT doc_id, {_TOKENS} AS w FROM d), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
+    q AS (SELECT unnest(['onst', 'that', 'moron', 'moron', 'ciónra']) AS term), p AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM t, q WHERE term <> 'that'),
+    f AS (SELECT term, count(DISTINCT doc_id) AS df FROM p WHERE tf > 0 GROUP BY term)
+    SELECT doc_id AS id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(a, 1)))), 3) AS score FROM p JOIN f USING (term), s WHERE tf > 0 GROUP BY doc_id""")
+def _(spark, d):
+    docs = td.table(spark, d, "documents")
+    index = fulltext.Postings.build(docs, "doc_id").remove(docs.filter("lang = 'de'").select(F.col("doc_id").alias("id")))
+    index = index.upsert(docs.filter("lang = 'fr'").select("doc_id", F.concat("text", F.lit(" onst onst")).alias("text")), "doc_id")
+    return index.search("onst that moron moron CIÓNRA", None).select("id", F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
 # --------------------------------------------------------------------------- places
 
 _PLACES = "(SELECT c_custkey AS id, (c_custkey * 37) % 1700 / 10.0 - 85 AS lat, (c_custkey * 91) % 3590 / 10.0 - 179.5 AS lon FROM customer)"
@@ -210,6 +229,12 @@ def _(spark, d):
     return spatial.bbox(td.places(spark, d), -10, 20, 30, 90)
 
 
+@query("grid_search", f"WITH q AS (SELECT 48.0 AS lat, 11.0 AS lon) SELECT 'radius' AS kind, p.id FROM {_PLACES} p, q WHERE {_km('q', 'p')} <= 2500 UNION ALL SELECT 'box', id FROM {_PLACES} WHERE lat BETWEEN -10 AND 30 AND lon BETWEEN 20 AND 90")
+def _(spark, d):
+    grid = spatial.Grid.build(td.places(spark, d))
+    return grid.radius(48.0, 11.0, 2500.0).select(F.lit("radius").alias("kind"), "id").unionByName(grid.bbox(-10, 20, 30, 90).select(F.lit("box").alias("kind"), "id"))
+
+
 @query("nearby_pairs", f"SELECT a.id AS a_id, b.id AS b_id, round({_km('a', 'b')}, 3) AS km FROM {_PLACES} a JOIN {_PLACES} b ON a.id < b.id AND abs(a.lat - b.lat) < 2 WHERE {_km('a', 'b')} <= 150")
 def _(spark, d):
     p = td.places(spark, d)
@@ -250,16 +275,12 @@ def _(spark, d):
     return iterative.components(iterative.edge_pairs(td.turns(spark, d)))
 
 
-@query("node_similarity", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_orderkey < 1200), k AS (SELECT s, count(*) AS d FROM e GROUP BY 1),
+@query("node_similarity", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), k AS (SELECT s, count(*) AS d FROM e GROUP BY 1),
     x AS (SELECT a.s AS s1, b.s AS s2, count(*) AS c FROM e a JOIN e b ON a.p = b.p AND a.s <> b.s GROUP BY 1, 2),
     j AS (SELECT 'supplier:' || s1 AS node1, 'supplier:' || s2 AS node2, c / (k1.d + k2.d - c) AS sim FROM x JOIN k k1 ON k1.s = s1 JOIN k k2 ON k2.s = s2),
     r AS (SELECT *, row_number() OVER (PARTITION BY node1 ORDER BY sim DESC, node2) AS rn FROM j) SELECT node1, node2, round(sim, 6) AS similarity FROM r WHERE rn <= 10""")
 def _(spark, d):
-    return _supplier_similarity(spark, d, "l_orderkey < 1200")
-
-
-def _supplier_similarity(spark: SparkSession, d: str, rows: str) -> DataFrame:
-    l = td.table(spark, d, "lineitem").filter(rows).select(td.ref("supplier", "l_suppkey").alias("a"), td.ref("part", "l_partkey").alias("b")).distinct()
+    l = td.table(spark, d, "lineitem").select(td.ref("supplier", "l_suppkey").alias("a"), td.ref("part", "l_partkey").alias("b")).distinct()
     only = l.select(F.col("a").alias("id")).distinct()
     return similarity.node_similarity(l, top_k=10, only=only).select("node1", "node2", F.round("similarity", 6).alias("similarity"))
 
@@ -274,30 +295,29 @@ def _(spark, d):
     return similarity.link_prediction(l, w).select("node1", "node2", "common_neighbors", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("resource_allocation", 6).alias("resource_allocation"))
 
 
-@query("modularity", """WITH e AS (SELECT c_custkey AS a, c_nationkey AS b FROM customer WHERE c_nationkey < 20), x AS (SELECT a, b, a % 4 AS ca, b % 4 AS cb FROM e), m AS (SELECT 2.0 * count(*) AS m2 FROM e),
+@query("modularity", """WITH x AS (SELECT c_custkey AS a, c_nationkey AS b, c_custkey % 4 AS ca, c_nationkey % 4 AS cb FROM customer), m AS (SELECT 2.0 * count(*) AS m2 FROM x),
     k AS (SELECT c, count(*) AS k FROM (SELECT ca AS c FROM x UNION ALL SELECT cb FROM x) GROUP BY 1), i AS (SELECT ca AS c, 2.0 * count(*) AS e FROM x WHERE ca = cb GROUP BY 1)
     SELECT round(sum(coalesce(e, 0) / m2 - pow(k / m2, 2)), 9) AS modularity FROM k LEFT JOIN i USING (c), m""")
 def _(spark, d):
-    return _nation_modularity(spark, d, "c_nationkey < 20")
-
-
-def _nation_modularity(spark: SparkSession, d: str, rows: str) -> DataFrame:
-    c = td.table(spark, d, "customer").filter(rows)
+    c = td.table(spark, d, "customer")
     pairs = c.select(td.ref("customer", "c_custkey").alias("a"), td.ref("nation", "c_nationkey").alias("b"), F.lit(1.0).alias("w"))
     labels = c.select(td.ref("customer", "c_custkey").alias("id"), (F.col("c_custkey") % 4).alias("community")).unionByName(c.select(td.ref("nation", "c_nationkey").alias("id"), (F.col("c_nationkey") % 4).cast("long").alias("community")).distinct())
     return iterative.modularity(pairs, labels).select(F.round("modularity", 9).alias("modularity"))
 
 
-@query("topological_levels", "SELECT printf('turn:%08d:%04d', conv_id, turn) AS id, turn::INTEGER AS level FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id < 30 AND conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 0))")
+@query("topological_levels", "SELECT printf('turn:%08d:%04d', conv_id, turn) AS id, turn::INTEGER AS level FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 0))")
 def _(spark, d):
-    return iterative.topological_levels(iterative.edge_pairs(td.turns(spark, d)).filter("a < 'turn:00000030'"))
+    return iterative.topological_levels(iterative.edge_pairs(td.turns(spark, d)))
+
+
+#: Turns of conversations that have several, and whether an assistant speaks.
+_TALK = "SELECT conv_id, turn, max((role = 'assistant')::INTEGER) AS a FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 0) GROUP BY 1, 2"
 
 
-@query("strong_components", "SELECT printf('turn:%08d:%04d', conv_id, turn) AS id FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 0))")
+@query("strong_components", f"SELECT printf('turn:%08d:%04d', conv_id, turn) AS id, printf('turn:%08d:%04d', conv_id, max(CASE WHEN a = 0 OR turn = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn)) AS root FROM ({_TALK})")
 def _(spark, d):
-    pairs = iterative.edge_pairs(td.turns(spark, d))
-    out = kernels.auto(pairs, kernels.strong_components, iterative.strong_components, "id string, component int", kernels.KERNEL_EDGES)
-    return out.join(out.groupBy("component").count().filter("count = 1"), "component").select("id")
+    out = kernels.auto(td.replies(spark, d), kernels.strong_components, iterative.strong_components, "id string, component int", kernels.KERNEL_EDGES)
+    return out.join(out.groupBy("component").agg(F.min("id").alias("root")), "component").select("id", "root")
 
 
 @query("personalised_pagerank")
@@ -316,14 +336,22 @@ def _(spark, d):
     return kernels.run_kernel(iterative.edge_pairs(td.turns(spark, d)), kernels.leiden, "id string, community int")
 
 
-@query("betweenness", "SELECT printf('turn:%08d:%04d', c.conv_id, c.turn) AS id, (c.turn * (m.last - c.turn))::DOUBLE AS score FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id < 20) c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1 HAVING max(turn) > 0) m USING (conv_id)")
+@query("betweenness", "SELECT printf('turn:%08d:%04d', c.conv_id, c.turn) AS id, (c.turn * (m.last - c.turn))::DOUBLE AS score FROM (SELECT DISTINCT conv_id, turn FROM conversations) c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1 HAVING max(turn) > 0) m USING (conv_id)")
 def _(spark, d):
-    return kernels.betweenness(iterative.edge_pairs(td.turns(spark, d)).filter("a < 'turn:00000020'"))
+    return kernels.per_component(iterative.edge_pairs(td.turns(spark, d)), kernels.component_betweenness, "id string, score double")
+
+
+@query("betweenness_tree", """WITH c AS (SELECT c_nationkey AS n, count(*) AS k FROM customer GROUP BY 1), t AS (SELECT n_nationkey AS n, n_regionkey AS r, coalesce(k, 0) AS k FROM nation LEFT JOIN c ON n = n_nationkey), x AS (SELECT r, sum(k + 1) + 1 AS size FROM t GROUP BY 1)
+    SELECT 'nation:' || n AS id, (k * (size - 1 - k) + k * (k - 1) / 2)::DOUBLE AS score FROM t JOIN x USING (r) UNION ALL SELECT 'region:' || r, (pow(sum(k + 1), 2) - sum(pow(k + 1, 2))) / 2 FROM t GROUP BY r UNION ALL SELECT 'customer:' || c_custkey, 0 FROM customer""")
+def _(spark, d):
+    g = td.commerce(spark, d)
+    e = g.typed("IN_NATION").filter("from_id like 'customer:%'").unionByName(g.typed("IN_REGION"))
+    return kernels.betweenness(e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.lit(1.0).alias("w")))
 
 
-@query("cut_points", "SELECT 'articulation' AS kind, printf('turn:%08d:%04d', c.conv_id, c.turn) AS a FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id < 20) c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) m USING (conv_id) WHERE turn > 0 AND turn < last UNION ALL SELECT 'bridge', printf('turn:%08d:%04d', c.conv_id, c.turn) FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id < 20) c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) m USING (conv_id) WHERE turn < last")
+@query("cut_points", f"WITH t AS ({_TALK}), m AS (SELECT conv_id, max(turn) AS last FROM t GROUP BY 1) SELECT 'articulation' AS kind, printf('turn:%08d:%04d', conv_id, turn) AS a FROM t JOIN m USING (conv_id) WHERE turn > 0 AND turn < last UNION ALL SELECT 'bridge', printf('turn:%08d:%04d', conv_id, turn - 1) FROM t WHERE turn > 0 AND a = 0")
 def _(spark, d):
-    return kernels.per_component(iterative.edge_pairs(td.turns(spark, d)).filter("a < 'turn:00000020'"), kernels.cut_points, "kind string, a string, b string").select("kind", "a")
+    return kernels.per_component(td.replies(spark, d), kernels.cut_points, "kind string, a string, b string").select("kind", "a")
 
 
 @query("weighted_distances", """WITH RECURSIVE w AS (SELECT 0::BIGINT AS turn, 0.0::DOUBLE AS cost UNION ALL SELECT w.turn + 1, w.cost + 1 - (0.5 + ((5 * 7 + w.turn * 3) % 10) / 20.0) FROM w WHERE w.turn < (SELECT max(turn) FROM conversations WHERE conv_id = 5))
@@ -338,49 +366,12 @@ def _(spark, d):
     return registry.call(g, "pagerank", "stats", max_iter=3)
 
 
-@query("morphology_dual", "WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey < 50), s AS (SELECT l_orderkey || '/' || l_linenumber AS seg, unnest([a, b]) AS p FROM e) SELECT DISTINCT x.seg AS a, y.seg AS b FROM s x JOIN s y ON x.p = y.p AND x.seg <> y.seg")
+@query("morphology_dual", "WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey AS a, -1 - l_partkey AS b FROM lineitem), s AS (SELECT l_orderkey || '/' || l_linenumber AS seg, unnest([a, b]) AS p FROM e) SELECT DISTINCT x.seg AS a, y.seg AS b FROM s x JOIN s y ON x.p = y.p AND x.seg <> y.seg")
 def _(spark, d):
-    return _line_dual(spark, d, "l_orderkey < 50")
-
-
-def _line_dual(spark: SparkSession, d: str, rows: str) -> DataFrame:
-    l = td.table(spark, d, "lineitem").filter(rows)
+    l = td.table(spark, d, "lineitem")
     return iterative.dual_graph(l.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
 
 
-# Whole tables. The queries of these names without _whole keep the id subsets that their SQL has.
-
-
-@query("node_similarity_whole")
-def _(spark, d):
-    return _supplier_similarity(spark, d, "true")
-
-
-@query("modularity_whole")
-def _(spark, d):
-    return _nation_modularity(spark, d, "true")
-
-
-@query("topological_levels_whole")
-def _(spark, d):
-    return iterative.topological_levels(iterative.edge_pairs(td.turns(spark, d)))
-
-
-@query("betweenness_whole")
-def _(spark, d):
-    return kernels.per_component(iterative.edge_pairs(td.turns(spark, d)), kernels.component_betweenness, "id string, score double")
-
-
-@query("cut_points_whole")
-def _(spark, d):
-    return kernels.per_component(iterative.edge_pairs(td.turns(spark, d)), kernels.cut_points, "kind string, a string, b string").select("kind", "a")
-
-
-@query("morphology_dual_whole")
-def _(spark, d):
-    return _line_dual(spark, d, "true")
-
-
 # --------------------------------------------------------------------------- versions
 
 
@@ -451,11 +442,9 @@ def _(spark, d):
     return crdt.diff_since(c, seen).select("id").distinct()
 
 
-@query("overlay_view", "SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_custkey <> 5 UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'extra:1'")
+@query("overlay_view", "SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_custkey <> 5 UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'part:' || p_partkey FROM part UNION ALL SELECT 'order:' || o_orderkey FROM orders UNION ALL SELECT 'extra:1'")
 def _(spark, d):
-    g = td.commerce(spark, d)
-    base = g.with_(nodes=g.nodes.filter("id like 'customer:%' or id like 'nation:%'"), edges=g.edges.filter("type = 'IN_NATION'"))
-    return overlay.view(base, spark.createDataFrame([("extra:1",)], "id string"), None, ["customer:5"]).nodes.select("id")
+    return overlay.view(td.commerce(spark, d), spark.createDataFrame([("extra:1",)], "id string"), None, ["customer:5"]).nodes.select("id")
 
 
 @query("overlay_impact", "SELECT 'nation:' || n_nationkey AS id, 1 AS depth FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'customer:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 UNION ALL SELECT 'supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
@@ -470,15 +459,60 @@ def _(spark, d):
     return overlay.search(g, "widget RED", None)
 
 
-@query("upsert_detach", "SELECT 'customer:' || c_custkey || '|IN_NATION|nation:' || c_nationkey AS id FROM customer WHERE c_custkey % 3 = 0")
+@query("upsert_detach", "SELECT 'customer:' || c_custkey || '|IN_NATION|nation:' || c_nationkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'customer:' || o_custkey || '|PLACED|order:' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
 def _(spark, d):
-    g = td.commerce(spark, d)
-    small = g.with_(nodes=g.nodes.filter("id like 'customer:%' or id like 'nation:%'"), edges=settle(g.edges.filter("type = 'IN_NATION' and id like 'customer:%'")))
-    ids = td.table(spark, d, "customer").filter("c_custkey % 3 = 0").select(td.ref("customer", "c_custkey").alias("id"))
-    out = mutate.tombstone_nodes(small, ids, detach=True)
+    ids = td.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(td.ref("customer", "c_custkey").alias("id"))
+    out = mutate.tombstone_nodes(td.commerce(spark, d), ids, detach=True)
     return out.edges.filter("tombstone").select("id")
 
 
+# --------------------------------------------------------------------------- loads
+
+
+def _written(rows: DataFrame, name: str) -> str:
+    """Lines of a text table as files in the shared folder."""
+    path = f"{scratch(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+def jsonl_nodes(rows: DataFrame, key: Column, label: str, props: list[str]) -> DataFrame:
+    return rows.select(F.to_json(F.struct(key.alias("id"), F.array(F.lit(label)).alias("labels"), F.struct(*props).alias("properties"))).alias("value"))
+
+
+def jsonl_edges(rows: DataFrame, a: Column, kind: str, b: Column) -> DataFrame:
+    return rows.select(F.to_json(F.struct(F.concat_ws("|", a, F.lit(kind), b).alias("id"), a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("type"))).alias("value"))
+
+
+def _empty_graph(spark: SparkSession) -> PropertyGraph:
+    return PropertyGraph.of(spark.createDataFrame([], "id string"), spark.createDataFrame([], "id string, from_id string, to_id string, type string"))
+
+
+@query("load_jsonl", """SELECT 'node' AS kind, 'customer:' || c_custkey AS id, c_name AS value FROM customer UNION ALL SELECT 'node', 'nation:' || n_nationkey, n_name FROM nation
+    UNION ALL SELECT 'edge', 'customer:' || c_custkey || '|IN_NATION|nation:' || c_nationkey, 'IN_NATION' FROM customer UNION ALL SELECT 'report', 'nodes', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) || '/2' UNION ALL SELECT 'report', 'edges', (SELECT count(*) FROM customer) || '/' || (1 + (SELECT count(*) FROM supplier))""")
+def _(spark, d):
+    c, n, s = (td.table(spark, d, x) for x in ("customer", "nation", "supplier"))
+    odd = spark.createDataFrame([("not json",), ('{"labels": ["X"]}',), ("",)], "value string")
+    nodes = jsonl_nodes(c.withColumnRenamed("c_name", "name"), td.ref("customer", "c_custkey"), "Customer", ["name"]).unionByName(jsonl_nodes(n.withColumnRenamed("n_name", "name"), td.ref("nation", "n_nationkey"), "Nation", ["name"])).unionByName(odd)
+    g, r = readers.load_nodes(_empty_graph(spark), *readers.nodes_jsonl(spark, _written(nodes, "nodes")))
+    # edges of suppliers have no node at one end, and one line is no JSON
+    lines = jsonl_edges(c, td.ref("customer", "c_custkey"), "IN_NATION", td.ref("nation", "c_nationkey")).unionByName(jsonl_edges(s, td.ref("supplier", "s_suppkey"), "IN_NATION", td.ref("nation", "s_nationkey"))).unionByName(odd.limit(1))
+    g, q = readers.load_edges(g, *readers.edges_jsonl(spark, _written(lines, "edges")))
+    out = g.live_nodes.select(F.lit("node").alias("kind"), "id", token_text(F.col("prop_tokens")["name"]).alias("value")).unionByName(g.live_edges.select(F.lit("edge").alias("kind"), "id", F.col("type").alias("value")))
+    return out.unionByName(spark.createDataFrame([("report", k, f"{x['inserted']}/{x['failed']}") for k, x in (("nodes", r), ("edges", q))], "kind string, id string, value string"))
+
+
+@query("load_csv", "SELECT 'node' AS kind, 'supplier:' || s_suppkey AS id, s_name AS value FROM supplier UNION ALL SELECT 'edge', 'supplier:' || a.s_suppkey || '-NEXT-supplier:' || b.s_suppkey, 'NEXT' FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
+def _(spark, d):
+    s = td.table(spark, d, "supplier")
+    nodes = s.select(F.concat_ws(",", td.ref("supplier", "s_suppkey"), F.lit("Supplier"), "s_name").alias("value"))
+    follow = s.select((F.col("s_suppkey") - 1).alias("k"))
+    edges = s.join(follow, s["s_suppkey"] == follow["k"], "left_semi").select(F.concat_ws(",", td.ref("supplier", "s_suppkey"), F.concat(F.lit("supplier:"), (F.col("s_suppkey") + 1).cast("string")), F.lit("NEXT")).alias("value"))
+    g, _r = readers.load_nodes(_empty_graph(spark), *readers.nodes_csv(spark, _written(nodes, "nodes"), ["id", "label", "name"]))
+    g, _r = readers.load_edges(g, *readers.edges_csv(spark, _written(edges, "edges"), ["from_id", "to_id", "type"]))
+    return g.live_nodes.select(F.lit("node").alias("kind"), "id", token_text(F.col("prop_tokens")["name"]).alias("value")).unionByName(g.live_edges.select(F.lit("edge").alias("kind"), "id", F.col("type").alias("value")))
+
+
 # --------------------------------------------------------------------------- pages
 
 _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
@@ -550,6 +584,11 @@ def _(spark, d):
     return memory.recall(g, "the", actor="assistant", limit=None).select("id")
 
 
-@query("mentions", "SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9_])@([A-Za-z0-9][A-Za-z0-9_.:-]*)', 2)) AS m FROM documents WHERE text NOT LIKE '%`%') GROUP BY 1")
+_ASKED = "'ask @' || coalesce(lang, 'any') || ' and `@nobody` or ```\n@none\n``` but a@b for @doc.' || doc_id || '. ' || coalesce(text, '')"
+
+
+@query("mentions", f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace({_ASKED.replace(chr(10), "' || chr(10) || '")}, '(?s)```.*?(?:```|$)', ' ', 'g'), '`[^`' || chr(10) || ']*`', ' ', 'g') AS t FROM documents)
+    SELECT doc_id AS id, m AS name, place::INTEGER AS place FROM (SELECT doc_id, unnest(l) AS m, unnest(range(len(l))) AS place FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '(^|[^A-Za-z0-9_])@([A-Za-z0-9][A-Za-z0-9_.:-]*)', 2), lambda x: regexp_replace(x, '[.:-]+$', '')), lambda x: x <> '' AND length(x) <= 120) AS l FROM t))""")
 def _(spark, d):
-    return memory.mentioned(td.table(spark, d, "documents"), "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    docs = td.table(spark, d, "documents").withColumn("text", F.expr(_ASKED.replace("\n", "\\n")))
+    return memory.mentioned(docs, "doc_id").select("id", "name", "place")

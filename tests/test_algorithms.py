@@ -159,7 +159,7 @@ def test_strong_components_loop_equals_kernel(spark):
 
 
 def test_queries_over_whole_tables(spark, tmp_path):
-    """Ids beyond the subsets that the SQL names: long conversations, late orders, high nations."""
+    """Long conversations, late orders, high nations."""
     last = {1: 3, 40: 2, 250: 4, 251: 0}
     spark.createDataFrame([(c, t, "user", "x") for c, n in last.items() for t in range(n + 1)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     lines = [(10, 1, 1, 5), (10, 2, 2, 6), (9000, 1, 1, 6), (9000, 2, 3, 7), (9001, 1, 3, 5)]
@@ -169,14 +169,14 @@ def test_queries_over_whole_tables(spark, tmp_path):
     run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
     turn = lambda c, t: f"turn:{c:08d}:{t:04d}"
     turns = [(c, t, n) for c, n in last.items() if n for t in range(n + 1)]
-    assert got(run("topological_levels_whole"), "id", "level") == {(turn(c, t), t) for c, t, _ in turns}
-    assert got(run("betweenness_whole"), "id", "score") == {(turn(c, t), float(t * (n - t))) for c, t, n in turns}
-    assert got(run("cut_points_whole"), "kind", "a") == {("articulation", turn(c, t)) for c, t, n in turns if 0 < t < n} | {("bridge", turn(c, t)) for c, t, n in turns if t < n}
+    assert got(run("topological_levels"), "id", "level") == {(turn(c, t), t) for c, t, _ in turns}
+    assert got(run("betweenness"), "id", "score") == {(turn(c, t), float(t * (n - t))) for c, t, n in turns}
+    assert got(run("cut_points"), "kind", "a") == {("articulation", turn(c, t)) for c, t, n in turns if 0 < t < n} | {("bridge", turn(c, t)) for c, t, n in turns if t < n}
     assert {r["id"] for r in run("leiden").collect()} == {turn(c, t) for c, t, _ in turns}
-    assert got(run("morphology_dual_whole"), "a", "b") == {(f"{x[0]}/{x[1]}", f"{y[0]}/{y[1]}") for x in lines for y in lines if x[:2] != y[:2] and (x[0] == y[0] or x[3] == y[3])}
+    assert got(run("morphology_dual"), "a", "b") == {(f"{x[0]}/{x[1]}", f"{y[0]}/{y[1]}") for x in lines for y in lines if x[:2] != y[:2] and (x[0] == y[0] or x[3] == y[3])}
     parts = {s: {l[3] for l in lines if l[2] == s} for s in (1, 2, 3)}
     want = {(f"supplier:{s}", f"supplier:{t}", round(len(parts[s] & parts[t]) / len(parts[s] | parts[t]), 6)) for s in parts for t in parts if s != t and parts[s] & parts[t]}
-    assert got(run("node_similarity_whole"), "node1", "node2", "similarity") == want
+    assert got(run("node_similarity"), "node1", "node2", "similarity") == want
     ends = [x for k, n in nations for x in (k % 4, n % 4)]
     inner = sum(2 * (k % 4 == n % 4) for k, n in nations)
-    assert run("modularity_whole").first()[0] == pytest.approx(inner / len(ends) - sum((ends.count(c) / len(ends)) ** 2 for c in range(4)), abs=1e-8)
+    assert run("modularity").first()[0] == pytest.approx(inner / len(ends) - sum((ends.count(c) / len(ends)) ** 2 for c in range(4)), abs=1e-8)

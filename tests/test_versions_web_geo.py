@@ -185,6 +185,7 @@ def test_all_matches_seed_the_page_search(spark):
 
 
 def test_mentions_beside_code(spark, tmp_path):
-    rows = [(1, "@ann and `@code` here"), (2, "```\n@fenced\n``` then @bob, @cy"), (3, "only `@code`"), (4, "@dee")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in queries.QUERIES["mentions"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 2), (4, 1)}
+    rows = [(1, "@ann and `@code` here", "en"), (2, "```\n@fenced\n``` then @bob, @cy", None), (3, "only `@code`", "de"), (4, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["id"], r["place"]): r["name"] for r in queries.QUERIES["mentions"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): "en", (1, 1): "doc.1", (1, 2): "ann", (2, 0): "any", (2, 1): "doc.2", (2, 2): "bob", (2, 3): "cy", (3, 0): "de", (3, 1): "doc.3", (4, 0): "fr", (4, 1): "doc.4"}
