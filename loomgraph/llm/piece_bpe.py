@@ -1,5 +1,5 @@
 """SentencePiece BPE by vectorised merge rounds: flat symbol arrays, the minimum pair rank of each word by segmented
-reduction, one leftmost merge in every word at once, compaction of finished words, until no pair remains."""
+reduction, all leftmost merges of that rank in every word at once, compaction of finished words, until no pair remains."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .common import chunks
 
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
-#: Words of more symbols than this are merged with a queue: rounds would cost the square of their length.
+#: Segments of more symbols than this find the places of a rank in a table by rank: looking through all of them each round would cost the square of their length.
 LONG = 1024
 CHUNK = 8 << 20
 
@@ -161,7 +161,7 @@ class Encoder:
         long = size > LONG
         if long.any():
             for a, n in zip(start[long].tolist(), size[long].tolist()):
-                s, p = self._queue(sym[a : a + n].tolist(), a)
+                s, p = self._by_rank(sym[a : a + n].copy(), a)
                 done_sym.append(s)
                 done_place.append(p)
             keep = ~np.repeat(long, size)
@@ -183,56 +183,85 @@ class Encoder:
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(least, size))
-            word = np.searchsorted(start, hit, side="right") - 1
-            first = np.ones(len(hit), bool)
-            first[1:] = word[1:] != word[:-1]
-            p = hit[first]  # one place in every word
+            p = hit[_alternate(np.diff(hit) == 1)]
+            word = np.searchsorted(start, p, side="right") - 1
+            chosen = np.zeros(len(sym) + 2, bool)
+            chosen[p] = True
+            many = np.flatnonzero(np.bincount(word, minlength=len(start))[word] > 1)
+            if len(many):  # several merges of a word are one round as long as none makes a pair that comes before the others
+                q, w = p[many], word[many]
+                left = np.where((q - 2 >= start[w]) & chosen[q - 2], to[q - 2], sym[q - 1])
+                inner = q + 2 < (start + size)[w]
+                early = self._early(to[q], left, q > start[w], sym[np.where(inner, q + 2, q)], inner, least[w])
+                stop = np.full(len(start), len(p))
+                np.minimum.at(stop, w[early], many[early])
+                keep = np.arange(len(p)) <= stop[word]
+                p, word = p[keep], word[keep]
             sym[p] = to[p]
             keep = np.ones(len(sym), bool)
             keep[p + 1] = False
             sym, place, rank, to = sym[keep], place[keep], rank[keep], to[keep]
-            p -= np.arange(len(p))
-            size = size - 1
+            p = p - np.arange(len(p))
+            size = size - np.bincount(word, minlength=len(size))
             start = np.cumsum(size) - size
             rank[p] = NO_RANK
-            inner = p < start + size - 1
-            q = p[inner]
+            q = p[p < (start + size)[word] - 1]
             rank[q], to[q] = self._pairs(sym[q], sym[q + 1])
-            q = p[p > start] - 1
+            q = p[p > start[word]] - 1
             rank[q], to[q] = self._pairs(sym[q], sym[q + 1])
         s, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_place))
         order = np.argsort(w, kind="stable")
         return s[order], w[order]
 
-    @lru_cache(maxsize=1)  # noqa: B019
-    def _table(self) -> dict[int, tuple[int, int]]:
-        return {int(k): (int(r), int(t)) for k, r, t in zip(self.keys, self.ranks, self.results) if k >= 0}
-
-    def _queue(self, sym: list[int], offset: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same merges of one long segment, best rank first, then leftmost."""
-        table, n, size = self._table(), len(sym), self.size
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def add(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and sym[a] < size and sym[b] < size and (x := table.get(sym[a] * size + sym[b])):
-                heapq.heappush(heap, (x[0], a, sym[a], b, sym[b]))
-
-        for k in range(n - 1):
-            add(k, k + 1)
+    def _early(self, made: np.ndarray, left: np.ndarray, has_left: np.ndarray, right: np.ndarray, has_right: np.ndarray, rank: np.ndarray | int) -> np.ndarray:
+        """Which merges make a pair, with the symbol before or behind, that must not wait for the other pairs of ``rank``."""
+        before, behind = self._pairs(left, made)[0], self._pairs(made, right)[0]
+        return (has_left & (before <= rank)) | (has_right & (behind <= rank))
+
+    def _by_rank(self, sym: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same rounds over one long segment: symbols are linked, and places wait in a table by the rank of their pair."""
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # place n is the end
+        rank, to = np.full(n, NO_RANK, np.int32), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[after[places] < n] if len(places) else places
+            rank[places], to[places] = self._pairs(sym[places], sym[after[places]])
+            places = places[rank[places] < NO_RANK]
+            places = places[np.argsort(rank[places], kind="stable")]
+            for some in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1) if len(places) else []:
+                r = int(rank[some[0]])
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(some)
+
+        wait(np.arange(n - 1))
         while heap:
-            _, a, sa, b, sb = heapq.heappop(heap)
-            if sym[a] != sa or sym[b] != sb or right[a] != b:
+            r = heapq.heappop(heap)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            hit = hit[rank[hit] == r]
+            if not len(hit):
                 continue
-            sym[a] = table[sa * size + sb][1]
-            sym[b] = -1
-            right[a] = right[b]
-            if right[b] >= 0:
-                left[right[b]] = a
-            add(left[a], a)
-            add(a, right[a])
-        alive = [k for k in range(n) if sym[k] >= 0]
-        return np.array([sym[k] for k in alive], np.int64), np.array(alive, np.int64) + offset
+            p = hit[_alternate(after[hit[:-1]] == hit[1:])]
+            second, made = after[p], to[p]
+            left, right = before[p], after[second]
+            follows = np.append(False, left[1:] == second[:-1])  # the symbol before is made in this round too
+            early = self._early(made, np.where(follows, np.append(0, made[:-1]), sym[left]), left >= 0, sym[np.minimum(right, n - 1)], right < n, r)
+            if early.any():
+                k = int(np.argmax(early)) + 1
+                heapq.heappush(heap, r)
+                waiting[r] = [hit[hit > p[k - 1]]]
+                p, second, made = p[:k], second[:k], made[:k]
+            sym[p] = made
+            rank[second] = rank[p] = NO_RANK
+            sym[second] = -1
+            after[p] = after[second]
+            before[after[p]] = p
+            wait(np.unique(np.concatenate([p, before[p][before[p] >= 0]])))
+        alive = np.flatnonzero(sym >= 0)
+        return sym[alive], alive + offset
 
     # ----------------------------------------------------------------- texts
 
@@ -314,6 +343,13 @@ class Encoder:
         return self._lists(first, code, ids, stop), self._texts(first, code, ids, stop)
 
 
+def _alternate(touches: np.ndarray) -> np.ndarray:
+    """Places of a sorted list of which no two neighbours touch, taken from the left; ``touches`` says of each but the first whether it touches the one before."""
+    at = np.arange(len(touches) + 1)
+    first = np.maximum.accumulate(np.where(np.append(True, ~touches), at, 0))
+    return np.flatnonzero((at - first) % 2 == 0)
+
+
 def _offsets(a: pa.Array) -> np.ndarray:
     return np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
 
