@@ -1,6 +1,6 @@
 """Exact top-k by inner product with KD-trees: every shard of rows has its own tree of median splits with tight boxes;
-a query walks it best box first and stops where no box can beat its k-th best score, which it brings along from
-the shards already searched."""
+a query walks it best box first and stops where no box can beat its k-th best score. That score is found in one shard
+first and carried to all others, where it only grows."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Rows of a shard (one tree), queries of a block, rows of a leaf.
-SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 4096, 1024, 64
+SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 4096, 8192, 64
 
 
 def whole_components(v: Column) -> Column:
@@ -63,34 +63,54 @@ def build(ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF_ROWS) -> Tree:
     return Tree(ids[order], rows[order], left, right, begin, end, np.array(low), np.array(high))
 
 
-def search(t: Tree, query_id: int, q: np.ndarray, k: int, best: list[tuple[int, int]]) -> None:
+def bounds(t: Tree, queries: np.ndarray) -> np.ndarray:
+    """For each query and box the largest inner product of any point in the box."""
+    return np.maximum(queries, 0) @ t.high.T + np.minimum(queries, 0) @ t.low.T
+
+
+def search(t: Tree, query_id: int, q: np.ndarray, bound: list[int], k: int, best: list[tuple[int, int]], least: int | None = None) -> None:
     """Improve ``best``, a heap of (score, -id) of at most k, by the rows of the tree other than the query's own.
 
-    A box's bound is the largest inner product of any point in it. A box is left out only if its bound is below
-    the k-th score, so ties are always seen.
+    ``bound`` has the largest possible score of each box; ``least`` is a score that k rows are known to reach. A box is
+    left out only if its bound is below the k-th score, so ties are always seen.
     """
-    bounds = np.maximum(t.low * q, t.high * q).sum(axis=1)  # of all boxes at once
-    todo = [(-int(bounds[0]), 0)]
+    floor = best[0][0] if len(best) == k else least
+    todo = [(-bound[0], 0)]
     while todo:
-        bound, n = heapq.heappop(todo)
-        if len(best) == k and -bound < best[0][0]:
+        top, n = heapq.heappop(todo)
+        if floor is not None and -top < floor:
             break
         if t.left[n] >= 0:
             for c in (t.left[n], t.right[n]):
-                if len(best) < k or bounds[c] >= best[0][0]:
-                    heapq.heappush(todo, (-int(bounds[c]), c))
+                if floor is None or bound[c] >= floor:
+                    heapq.heappush(todo, (-bound[c], c))
             continue
         ids = t.ids[t.begin[n] : t.end[n]]
         scores = t.rows[t.begin[n] : t.end[n]] @ q
-        if len(best) == k:
-            some = np.flatnonzero(scores >= best[0][0])
+        if floor is not None:
+            some = np.flatnonzero(scores >= floor)
             ids, scores = ids[some], scores[some]
         for s, i in zip(scores.tolist(), ids.tolist()):
             if i != query_id:
+                s = int(s)
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
                     heapq.heapreplace(best, (s, -i))
+        if len(best) == k:
+            floor = best[0][0] if least is None else max(best[0][0], least)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them."""
+    top = int(np.abs(x).max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max))
+
+
+def _exact(*parts: np.ndarray) -> type:
+    """A type whose sums of products of these numbers are exact: doubles while they stay below 2^53, which multiply faster."""
+    top = max(int(np.abs(x.astype(np.int64)).max(initial=0)) for x in parts)
+    return np.float64 if top * top * parts[0].shape[1] < 2**53 else np.int64
 
 
 def _matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -103,39 +123,48 @@ def _grow(table: pa.Table) -> pa.Table:
     ids, rows = table["vec_id"].to_numpy(), _matrix(table["x"].combine_chunks(), table.num_rows)
     order = np.argsort(ids, kind="stable")  # rows come in any order
     tree = build(ids[order], rows[order])
+    for name in ("rows", "low", "high"):
+        setattr(tree, name, _narrow(getattr(tree, name)))
     return pa.table({"dim": pa.array([rows.shape[1]], pa.int32()), "shard": table["shard"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
 def _pack(table: pa.Table) -> pa.Table:
     """One block of queries to one row."""
     table = table.combine_chunks()
-    packed = pickle.dumps((table["vec_id"].to_numpy(), _matrix(table["x"].combine_chunks(), table.num_rows)))
+    packed = pickle.dumps((table["vec_id"].to_numpy(), _narrow(_matrix(table["x"].combine_chunks(), table.num_rows)), table["least"].to_pylist()))
     return pa.table({"dim": table["dim"][:1], "block": table["block"][:1], "queries": pa.array([packed], pa.binary())})
 
 
 def _walk(k: int):
-    """Search the trees that come for a block one after the other; the k-th scores go from tree to tree."""
+    """Search the trees that follow a block's queries one after the other; the k-th scores go from tree to tree."""
 
-    def out(block, ids, best):
+    def out(ids, best):
         rows = [(int(q), -i, s) for q, b in zip(ids, best) for s, i in b]
         cols = list(zip(*rows)) if rows else [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     def run(batches):
-        now, ids, rows, best = None, None, None, None
+        now, ids, best = None, [], []
         for batch in batches:
-            for j in range(batch.num_rows):
-                key = (batch.column(0)[j].as_py(), batch.column(1)[j].as_py())
-                if key != now:
-                    if now is not None:
-                        yield out(now, ids, best)
-                    ids, rows = pickle.loads(batch.column(3)[j].as_py())
-                    now, best = key, [[] for _ in ids]
-                tree = pickle.loads(batch.column(4)[j].as_py())
-                for n in range(len(ids)):
-                    search(tree, int(ids[n]), rows[n], k, best[n])
-        if now is not None:
-            yield out(now, ids, best)
+            for *block, shard, payload in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+                if shard < 0:
+                    if len(ids):
+                        yield out(ids, best)
+                    now, (ids, queries, least) = block, pickle.loads(payload.as_py())
+                    best = [[] for _ in ids]
+                    continue
+                if block != now:  # the hash left this block without queries
+                    continue
+                tree = pickle.loads(payload.as_py())
+                kind = _exact(tree.rows, queries)
+                tree.rows, tree.low, tree.high = (x.astype(kind) for x in (tree.rows, tree.low, tree.high))
+                for lo in range(0, len(ids), 1024):
+                    rows = queries[lo : lo + 1024].astype(kind)
+                    bound = bounds(tree, rows).tolist()
+                    for j in range(len(rows)):
+                        search(tree, int(ids[lo + j]), rows[j], bound[j], k, best[lo + j], least[lo + j])
+        if len(ids):
+            yield out(ids, best)
 
     return run
 
@@ -144,10 +173,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = S
     """For every query row the k rows of highest integer inner product, other than its own: (query_id, rank, vec_id, score).
 
     Rows are dealt by a hash of their id into shards of about ``shard_rows``, each built into a tree once; query blocks of
-    about ``block_queries`` meet every shard through an equi-join on explicit block numbers. A task searches the
-    trees of one block in turn, so later trees are pruned by the k-th score of the earlier ones; the partial
-    lists of a block's tasks (at most k a query and task) are merged by rank. Memory of a task: one tree, one
-    block, its heaps.
+    about ``block_queries`` meet every shard by explicit block numbers. First each block searches one shard, which
+    gives every query a score that k rows reach. Then each task takes a block once and a share of the trees, one
+    after the other, all pruned by that score and by the better ones found on the way; the partial lists of a
+    block's tasks (at most k a query and task) are merged by rank. Components travel in the smallest type that holds
+    them. Memory of a task: one tree, one block, its heaps.
 
     Ties go to the smaller id. Vectors that are null, empty or hold null or non-finite components take no part,
     nor do rows with null ids; vectors meet only those of their own dimension; fewer than k rows give all. Rows
@@ -169,14 +199,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = S
     blocks = {d: max(1, -(-m // block_queries)) for d, (_, m) in sizes.items()}
     trees = x.withColumn("shard", deal(shards)).select("vec_id", "x", "dim", "shard").groupBy("dim", "shard").applyInArrow(_grow, "dim int, shard int, tree binary")
     first = x.filter("q").groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    queries = first.withColumn("block", deal(blocks)).groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, queries binary")
-    trees, queries = stored(trees, "trees"), stored(queries, "queries")
-    count = F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])
-    meets = trees.withColumn("block", F.explode(F.sequence(F.lit(0), count[F.col("dim")] - 1))).join(queries, ["dim", "block"])
-    # every task gets a share of the trees of a block, in order
+    first = first.withColumn("block", deal(blocks))
+    trees = stored(trees, "trees")
+    table = lambda n: F.create_map(*[F.lit(v) for kv in n.items() for v in kv])[F.col("dim")]
     tasks = max(1, x.sparkSession.sparkContext.defaultParallelism // max(1, sum(blocks.values())))
-    meets = meets.withColumn("part", F.col("shard") % tasks)
-    meets = meets.repartition("dim", "block", "part").sortWithinPartitions("dim", "block", "shard").select("dim", "block", "shard", "queries", "tree")
-    found = meets.mapInArrow(_walk(k), "query_id long, vec_id long, score long")
+
+    def walked(queries: DataFrame, meets: Column, parts: int) -> DataFrame:
+        """Queries packed by block against the trees of which ``meets`` says whether they count for a block."""
+        packed = queries.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, queries binary")
+        part = F.col("shard") % parts
+        one = packed.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("shard"), F.col("queries").alias("payload"))
+        two = trees.select("dim", F.explode(F.sequence(F.lit(0), table(blocks) - 1)).alias("block"), "shard", "tree").filter(meets).select("dim", "block", part.alias("part"), "shard", F.col("tree").alias("payload"))
+        rows = one.unionByName(two).repartition("dim", "block", "part").sortWithinPartitions("dim", "block", "part", "shard")
+        return rows.select("dim", "block", "shard", "payload").mapInArrow(_walk(k), "query_id long, vec_id long, score long")
+
+    seed = walked(first.withColumn("least", F.lit(None).cast("long")), F.col("shard") == F.col("block") % table(shards), 1)
+    least = seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
+    first = stored(first.join(least.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left").select("vec_id", "x", "dim", "block", "least"), "queries")
+    found = walked(first, F.lit(True), tasks)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -293,6 +293,19 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_numbers(spark):
+    """Rows of one id count once each as candidates, never for their own id; sums beyond 2^53 stay exact."""
+    big = float(1 << 23)
+    rows = [(20, [big, 1.0]), (20, [big, 2.0]), (1, [big, 3.0]), (1, [big, 3.0]), (2, [big, 3.0 + 1 / 64]), (40, [-1.0, 0.5])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 4, 2, 2)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out.collect()}
+    m = [(i, [int(np.floor(64 * v)) for v in x]) for i, x in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for q, x in ((20, m[0][1]), (40, m[5][1])):  # of a repeated query id the first by value
+        want = sorted(((i, dot(y, x)) for i, y in m if i != q), key=lambda z: (-z[1], z[0]))[:4]
+        assert [got[q, r] for r in range(1, len(want) + 1)] == want
+
+
 # --------------------------------------------------------------------------- 7 mixing
 
 
