@@ -225,19 +225,35 @@ def _wilson(k: Column, n: Column, z: float = 2.6) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+#: Least toxic shares (lower bounds) that stems need, pass after pass.
+BOUNDS = (0.9, 0.5)
+
+
 def induce(sample: DataFrame) -> Lexicon:
     """Seed stems, and stems that the labelled texts (text, toxic) show in toxic documents nearly alone, as the class LEARNED.
 
-    Evidence is counted in distinct words per document, since a stem of one document may come with many endings. A
-    stem qualifies if it is in two toxic documents and the lower bound of its toxic share is above one half; of
-    nested stems the shortest is kept. The sample is bounded, so the stems that reach the driver are.
+    Each pass looks at the toxic documents in which no stem is found yet, beside all others: words that only go with
+    what is known already, as in copies of one document, teach nothing. Evidence is counted in distinct words per
+    document, since a stem of one document may come with many endings. A stem qualifies if it is in two toxic documents
+    and the lower bound of its toxic share is above the pass's bound; of nested stems the shortest is kept. The
+    sample is bounded, so the stems that reach the driver are.
     """
-    counted = sample.select("text", "toxic").mapInArrow(_count_terms, "term string, docs long, toxic long, n long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    good = counted.filter("docs >= 2").filter(_wilson(F.col("toxic"), F.col("n")) > 0.5).select("term").collect()
     table = seeds()
-    for t in sorted((r["term"] for r in good), key=lambda t: (len(t.rstrip("$")), t)):
-        if t not in table and not any(t[:k] in table for k in range(3, len(t))):
-            table[t] = LEARNED
+    for bound in BOUNDS:
+        lexicon, g = Lexicon(tuple(sorted(table.items()))), grammar()
+
+        def unexplained(batches, lexicon=lexicon, g=g):
+            for batch in batches:
+                for part in chunks(batch, 0):
+                    found = matched_clauses(part.column(0), lexicon, g).sum(axis=1) > 0
+                    yield part.filter(pa.array(~found | (part.column(1).to_numpy(zero_copy_only=False) == 0)))
+
+        left = sample.select("text", "toxic").mapInArrow(unexplained, "text string, toxic int")
+        counted = left.mapInArrow(_count_terms, "term string, docs long, toxic long, n long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+        good = counted.filter("docs >= 2").filter(_wilson(F.col("toxic"), F.col("n")) > bound).select("term").collect()
+        for t in sorted((r["term"] for r in good), key=lambda t: (len(t.rstrip("$")), t)):
+            if t not in table and not any(t[:k] in table for k in range(3, len(t))):
+                table[t] = LEARNED
     return Lexicon(tuple(sorted(table.items())))
 
 
@@ -246,7 +262,7 @@ PRIOR = np.array([1.2, 4.0, 0.2, 0.8, 0.3, 4.0, 0.1, 0.8, 1.2, 4.0, 0.2, 0.8])
 BIAS = -2.2
 
 
-def calibrate(counts: np.ndarray, toxic: np.ndarray, plain: np.ndarray, strength: float = 0.1) -> tuple[np.ndarray, float]:
+def calibrate(counts: np.ndarray, toxic: np.ndarray, plain: np.ndarray, strength: float = 0.01) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model over log(1 + clauses) by damped Newton steps; ``strength`` pulls towards the prior.
 
     Rows are distinct clause counts with their numbers of toxic and plain documents. A variant never weighs less aimed
