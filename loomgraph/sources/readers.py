@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..iterate import settle
 from ..model import PROVENANCE, GraphError, PropertyGraph, as_edges, as_nodes
 
 ERRORS_KEPT = 32
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their file and place; CR at the end is dropped."""
+    """Non-blank lines with their file and place; CR at the end is dropped. Lines of a few small files are dealt to all tasks before they are parsed."""
     t = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return t.filter(F.trim("line") != "")
+    t = t.filter(F.trim("line") != "")
+    tasks = spark.sparkContext.defaultParallelism
+    return t.repartition(tasks) if t.rdd.getNumPartitions() < tasks else t
 
 
 def _object(line: Column) -> Column:
@@ -28,15 +31,14 @@ def _string(m: Column, key: str) -> Column:
 def nodes_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and rejects (file, at, line, code). ``id`` must be a string; labels that aren't strings are dropped; ``properties`` must be an object."""
     t = _lines(spark, path).withColumn("m", _object(F.col("line")))
-    props = F.when(F.col("m")[F.lit("properties")].isNotNull(), F.to_json(F.col("m")[F.lit("properties")]))
     labels = F.transform(F.filter(F.coalesce(F.call_function("try_variant_get", F.col("m")[F.lit("labels")], F.lit("$"), F.lit("array<variant>")), F.array().cast("array<variant>")), lambda v: F.call_function("schema_of_variant", v) == "STRING"), lambda v: v.cast("string"))
     dead = F.coalesce(F.call_function("try_variant_get", F.col("m")[F.lit("tombstone")], F.lit("$"), F.lit("boolean")), F.lit(False))
-    t = t.select("file", "at", "line", F.get_json_object("line", "$").isNotNull().alias("ok"), _string(F.col("m"), "id").alias("id"), labels.alias("labels"), F.get_json_object("line", "$.properties").alias("raw"), props.alias("_p"), dead.alias("tombstone"))
+    t = t.select("file", "at", "line", F.get_json_object("line", "$").isNotNull().alias("ok"), _string(F.col("m"), "id").alias("id"), labels.alias("labels"), F.get_json_object("line", "$.properties").alias("raw"), dead.alias("tombstone"))
     code = (
         F.when(~F.col("ok"), "invalid_json").when(F.col("id").isNull(), "missing_id").when(F.trim("id") == "", "blank_node_id")
         .when(F.col("raw").isNotNull() & ~F.col("raw").startswith("{"), "properties_not_object")
     )
-    t = t.withColumn("code", code)
+    t = settle(t.withColumn("code", code))  # parsed once, however often good and bad rows are asked for
     good = t.filter("code is null").select("id", "labels", F.coalesce("raw", F.lit("{}")).alias("properties"), "tombstone", F.col("at").alias("seq"))
     return good, t.filter("code is not null").select("file", "at", "line", "code")
 
@@ -55,7 +57,7 @@ def edges_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     for c in ("id", "from_id", "to_id", "type"):
         code = code.when(F.coalesce(F.trim(c), F.lit("")) == "", f"missing_{c}")
     code = code.when(F.col("raw").isNotNull() & ~F.col("raw").startswith("{"), "properties_not_object").when(F.col("epistemic_type").isNotNull() & ~F.lower("epistemic_type").isin("supports", "contradicts", "tension", "derives", "cites"), "unknown_epistemic_type")
-    t = t.withColumn("code", code)
+    t = settle(t.withColumn("code", code))  # parsed once, however often good and bad rows are asked for
     good = t.filter("code is null").select("id", "from_id", "to_id", "type", F.coalesce("raw", F.lit("{}")).alias("properties"), "confidence", "epistemic_type", "provenance", "tombstone", F.col("at").alias("seq"))
     return good, t.filter("code is not null").select("file", "at", "line", "code")
 
@@ -114,11 +116,11 @@ def load_edges(g: PropertyGraph, good: DataFrame, bad: DataFrame) -> tuple[Prope
     """As for nodes; edges whose ends are missing or dead are rejects, found by joins, not row by row."""
     from ..versioning.mutate import rejects, upsert_edges
 
-    refused = rejects(g, good)
+    refused = settle(rejects(g, good))
     fine = good.join(refused.select("id"), "id", "left_anti")
     n, failed = fine.count(), bad.count() + refused.count()
     errors = [r.asDict() for r in bad.orderBy("at").limit(ERRORS_KEPT).collect()] + [r.asDict() for r in refused.orderBy("id").limit(ERRORS_KEPT).collect()]
-    return upsert_edges(g, fine, "seq") if n else g, {"inserted": n, "failed": failed, "errors": errors[:ERRORS_KEPT]}
+    return upsert_edges(g, fine, "seq", checked=True) if n else g, {"inserted": n, "failed": failed, "errors": errors[:ERRORS_KEPT]}
 
 
 # --------------------------------------------------------------------------- snapshots and logs

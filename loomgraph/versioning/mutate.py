@@ -59,16 +59,17 @@ def rejects(g: PropertyGraph, rows: DataFrame, extra_nodes: DataFrame | None = N
     return out.select("id", code.alias("code")).filter("code is not null")
 
 
-def upsert_edges(g: PropertyGraph, rows: DataFrame, seq: str | None = None) -> PropertyGraph:
-    """Replace or add edges; both ends must be live nodes (a tombstone needs no ends)."""
-    rows = settle(rows)
-    bad = rejects(g, rows).first()
-    if bad:
-        raise GraphError(bad["code"], str(bad["id"]))
+def upsert_edges(g: PropertyGraph, rows: DataFrame, seq: str | None = None, checked: bool = False) -> PropertyGraph:
+    """Replace or add edges; both ends must be live nodes (a tombstone needs no ends), unless the caller has ``checked`` that with :func:`rejects`."""
+    if not checked:
+        rows = settle(rows)
+        bad = rejects(g, rows).first()
+        if bad:
+            raise GraphError(bad["code"], str(bad["id"]))
     keep = numbered(rows, *([seq] if seq else []), "id")
     last = settle(_latest(keep, "_n"))
     new = as_edges(last.withColumn("version", F.lit(g.version) + F.col("_n")))
-    return g.with_(edges=_merge(g.edges, new, EDGE_SCHEMA.names), version=g.version + rows.count())
+    return g.with_(edges=_merge(g.edges, new, EDGE_SCHEMA.names), version=g.version + keep.count())
 
 
 def tombstone_nodes(g: PropertyGraph, ids: DataFrame, detach: bool = False) -> PropertyGraph:
