@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -67,6 +68,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one stage freed would count with the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def chunks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts (column number ``text``) hold about ``limit`` bytes; at least one row each."""
     if not batch.num_rows:
@@ -76,6 +86,7 @@ def chunks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterat
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -14,13 +14,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, give_back
 
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
 #: Segments of more symbols than this find the places of a rank in a table by rank: looking through all of them each round would cost the square of their length.
 LONG = 1024
-CHUNK = 8 << 20
+#: Texts are encoded in pieces of about this many bytes: the arrays over a piece take some twenty times as much in each worker.
+CHUNK = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -357,7 +358,9 @@ def _offsets(a: pa.Array) -> np.ndarray:
 @lru_cache(maxsize=2)
 def encoder(v: Vocabulary) -> Encoder:
     """One encoder a worker process and vocabulary."""
-    return Encoder(v)
+    out = Encoder(v)
+    give_back()
+    return out
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", column: str = "tokens") -> DataFrame:

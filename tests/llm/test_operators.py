@@ -556,3 +556,16 @@ def test_windows_of_words():
 
 def test_every_operator_has_a_query(spark):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_workers_give_memory_back_and_encode_small_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from loomgraph.llm import common, piece_bpe
+
+    gave = []
+    monkeypatch.setattr(common, "give_back", lambda: gave.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 20_000] * 100)], ["text"])
+    parts = list(common.chunks(batch, 0, piece_bpe.CHUNK))
+    assert gave and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(p.num_rows for p in parts) * 100_000 <= 3 << 20
